@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparkseek.session import ship
 
 #: White space of the word contracts, as a Java and RE2 class.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,6 +62,12 @@ def drop(df: DataFrame | None) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow`` with this package sent to the workers first."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession, rows: int, each: int = 250_000) -> int:
     """Shuffle partitions for a slim table: the session's number, more where rows demand it."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.llm import mixing, oracles, reply_trees, url_filter
+from sparkseek.llm import caps, language_id, lm_scoring, mixing, oracles, packing, quality, reply_trees, secrets, simhash, url_filter
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -35,8 +35,48 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.fold(F.col("doc_id"), 7) == 2
+    out = lm_scoring.score(docs.withColumn("held_out", held), ~F.col("held_out"), ["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.fold(F.col("doc_id"), 3) == 1
+    model = language_id.train(docs.filter(~held))
+    return language_id.predict(docs, ["doc_id"], model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.find_secrets(docs, ["doc_id"], secrets.train(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return out.select("doc_id", *quality.STATS, "base_failed", "kept")
+
+
+def op10_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filters": op1_url_filters, "op2_chat_formatting": op2_chat_formatting, "op3_mixing": op3_mixing}
+    return {
+        "op1_url_filters": op1_url_filters, "op2_chat_formatting": op2_chat_formatting, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_lm_scoring": op5_lm_scoring, "op6_packing": op6_packing,
+        "op7_language_id": op7_language_id, "op8_secrets": op8_secrets, "op9_quality": op9_quality, "op10_spherical_caps": op10_spherical_caps,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
