@@ -1,13 +1,76 @@
-"""Corpus pipeline: the stages a raw document table goes through before training."""
+"""Corpus pipeline: the stages a raw document table goes through before training.
+
+1. language ID: documents without a letter or without a likely language go; ``lang`` becomes the predicted one;
+2. SimHash near-dedup: of each group of near-duplicates the document with the smallest id stays;
+3. secret scans: each secret in a text becomes ``<SECRET>``, and ``n_chars`` follows; no document goes;
+4. mixing: each document stays as often as the mix of its source takes it (not at all, once or twice);
+5. packing: documents become pieces in sequences of at most 1024 tokens.
+
+Each stage works on all that the one before kept, learns from its own input and is written as Parquet in between. All but
+the last return the columns of their input. Rows are told apart by a row number that is written with them, so null or
+repeated ids are safe. An empty table passes through every stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkseek.llm import language_id, mixing, packing, secrets, simhash
+from sparkseek.llm._common import cut
+
+#: Posterior below which a document has no likely language.
+LEAST_SCORE = 0.5
+REDACTED = "<SECRET>"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = language_id.predict(docs, docs.columns, language_id.train(docs))
+    kept = judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = _numbered(docs)
+    found = simhash.near_duplicates(rows, ["_row", "doc_id"])
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("m"))
+    return rows.join(first.select("m._row"), "_row", "left_semi").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(docs, docs.columns, secrets.train(docs), redact=REDACTED)
+    changed = F.col("spans") != ""
+    return found.withColumns({"text": F.col("redacted"), "n_chars": F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = _numbered(docs)
+    taken = mixing.mix(rows.select("_row", "doc_id", "text", "source"), ["_row"])
+    times = taken.filter("taken > 0").select("_row", F.expr("cast(taken div size as int)").alias("_n"))
+    return rows.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, ["doc_id"])
+
 
-STAGES: list = []
-#: Language models and fingerprints have no SQL form; the pipeline is tested against a brute-force version.
+STAGES = [
+    ("language ID", identify_language),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("secret scans", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: Language models, fingerprints and a tokenizer have no SQL form; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -208,7 +208,8 @@ def links(fps: DataFrame, radius: int = RADIUS, rows: int | None = None) -> Data
 
 
 def components(prints: DataFrame, keep: list[str], id_col: str, radius: int = RADIUS) -> DataFrame:
-    """``keep`` and ``fp`` -> plus ``component_id``, the smallest id reachable over links, itself included."""
+    """``keep`` and ``fp`` -> plus ``component_id``, the smallest id reachable over links, itself included, and ``component``, a
+    key of the component that is never null."""
     prints = cut(prints)
     classes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     found = links(classes.select("fp"), radius)
@@ -216,11 +217,11 @@ def components(prints: DataFrame, keep: list[str], id_col: str, radius: int = RA
     named = classes.join(members, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     linked = named.filter("c is not null")
     smallest = linked.groupBy("c").agg(F.min("least").alias("component_id"))
-    labels = cut(linked.join(smallest, "c").select(F.col("fp").alias("_fp"), "component_id"))
+    labels = cut(linked.join(smallest, "c").select(F.col("fp").alias("_fp"), "component_id", F.col("c").alias("component")))
     drop(members)
     return prints.join(labels, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """Every row's ``keep``, ``fp`` and ``component_id``."""
+    """Every row's ``keep``, ``fp``, ``component_id`` and ``component``."""
     return components(fingerprints(docs, keep, text), keep, id_col, radius)
