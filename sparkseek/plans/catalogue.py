@@ -1,11 +1,15 @@
-"""Named queries of the engine's own operators, with DuckDB SQL."""
+"""Named queries of the engine's own operators, with DuckDB SQL where SQL can state them."""
 
 from __future__ import annotations
 
+from sparkseek.plans import curation, retrieval, vector
+
+_ALL = retrieval.QUERIES | vector.QUERIES | curation.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in _ALL.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
