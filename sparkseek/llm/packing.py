@@ -4,7 +4,8 @@ Lengths are whole numbers up to the capacity, so the plan needs only how many pi
 dealt into groups of equal cardinality and rounded up to their group's longest; configurations of these few sizes are
 optimised (column generation over a linear program, knapsacks by dynamic programming) and rounded down. Actual lengths
 then take the places of the rounded ones, the places that are left are filled best-fit, longest first, and small pieces
-go best-fit into what space remains, longest first.
+go best-fit into what space remains, longest first. Rounding costs space that small pieces may not fill, so plans with
+several numbers of groups are made, one of them all best-fit, and the one of fewest sequences is used.
 
 The plan is a list of runs: so many pieces of one length, from such a rank on, go to so many consecutive sequences at one
 offset. Its size depends on the capacity and the number of groups, not on the documents. Pieces find their run by length
@@ -31,7 +32,8 @@ from sparkseek.llm._common import cut, drop, map_arrow
 
 CAPACITY = 1024
 END_ID = 2
-GROUPS = 48
+#: Numbers of groups that are tried; without groups, all pieces go best-fit. The plan of fewest sequences counts.
+GROUPS = (96, 48, 24, 0)
 #: Lengths of at least this share of the capacity are large.
 LARGE = 1 / 8
 
@@ -93,7 +95,12 @@ def tokenise(docs: DataFrame, keep: list[str], text: str = "text", tokenizer: st
 class Plan:
     """Runs (length, rank from, rank to, sequence from, offset) that pack ``counts[length]`` pieces."""
 
-    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> None:
+    @classmethod
+    def best(cls, counts: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> Plan:
+        """The plan of fewest sequences over the numbers of groups, the first of equal ones."""
+        return min((cls(counts, capacity, g) for g in groups), key=lambda p: p.sequences)
+
+    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS[0]) -> None:
         self.capacity = capacity
         self.left = dict(sorted((n, c) for n, c in counts.items() if c > 0))
         self.used = dict.fromkeys(self.left, 0)
@@ -142,7 +149,7 @@ class Plan:
 
     def _configurations(self, large: list[int], groups: int) -> None:
         total = sum(self.left[n] for n in large)
-        if total < 4 * groups:
+        if not groups or total < 4 * groups:
             return
         # Linear grouping: each group's ceiling is its longest length; a length belongs to one group.
         tops, need, seen = [], [], 0
@@ -183,7 +190,7 @@ class Plan:
                 self._free(self.capacity - filled, a, b)
 
 
-def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 600) -> tuple[list[np.ndarray], np.ndarray]:
+def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 1500) -> tuple[list[np.ndarray], np.ndarray]:
     """Patterns of ``sizes`` within ``capacity`` and how often to use each, rounded down: least bins for ``need``.
 
     Column generation: the basis starts with one size a pattern; the pattern of the best dual value enters and the
@@ -226,13 +233,13 @@ def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.n
     return pattern, float(best[capacity])
 
 
-def pack(docs: DataFrame, keep: list[str], text: str = "text", tokenizer: str = "byte_bpe_50k", end: int = END_ID, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+def pack(docs: DataFrame, keep: list[str], text: str = "text", tokenizer: str = "byte_bpe_50k", end: int = END_ID, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> DataFrame:
     """``keep``, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     spark = docs.sparkSession
     pieces = cut(tokenise(docs, keep, text, tokenizer, end, capacity))
     by_task = cut(pieces.groupBy("_task", "length").agg(F.count("*").alias("n")))
     counts = {r[0]: r[1] for r in by_task.groupBy("length").agg(F.sum("n")).collect()}  # a row a length
-    plan = Plan(counts, capacity, groups)
+    plan = Plan.best(counts, capacity, groups)
     # Each task's first rank by length; one length has one row a task, and the longest history is of tasks, not of rows.
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_task.select("_task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_from"))
