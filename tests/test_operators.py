@@ -233,14 +233,14 @@ def test_ivfpq_recall(spark):
     asked = matrix(spark, x[::125] + rng.standard_normal((20, 32)) * 0.2).select(F.col("id").alias("qid"), F.col("v").alias("q")).persist()
     truth = knn.exact_topk(vectors, asked, 10).persist()
     cells = ivfpq.train_coarse(vectors, 16).persist()
-    books = ivfpq.train_codebooks(vectors, 4, 4).persist()
-    index = ivfpq.pq_encode(ivfpq.assign_cells(vectors, cells), books, 4, 32).persist()
+    books = ivfpq.train_codebooks(vectors, 8, 4).persist()
+    index = ivfpq.pq_encode(ivfpq.assign_cells(vectors, cells), books, 8, 32).persist()
     recall = {}
     for rerank in (0, 8):
-        found = ivfpq.search(index, ivfpq.probe_cells(asked, cells, 14, "qid", "q"), asked, books, 4, 32, 10, rerank)
+        found = ivfpq.search(index, ivfpq.probe_cells(asked, cells, 14, "qid", "q"), asked, books, 8, 32, 10, rerank)
         recall[rerank] = evaluate.ann_recall(found, truth, 10).first()[0]
     assert recall[8] >= 0.85 and recall[8] >= recall[0]
-    everything = ivfpq.search(index, ivfpq.probe_cells(asked, cells, 16, "qid", "q"), asked, books, 4, 32, 10, 250)
+    everything = ivfpq.search(index, ivfpq.probe_cells(asked, cells, 16, "qid", "q"), asked, books, 8, 32, 10, 250)
     assert evaluate.ann_recall(everything, truth, 10).first()[0] == 1.0
 
 
