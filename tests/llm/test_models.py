@@ -132,7 +132,7 @@ def test_plan_is_whole_and_close_to_best(seed):
     shape = [lambda: rng.randint(1, 1024), lambda: rng.randint(340, 345), lambda: min(1024, int(rng.expovariate(1 / 200)) + 1), lambda: rng.choice([600, 500, 424, 300, 1024])][seed % 4]
     lengths = [shape() for _ in range(3000)]
     counts = Counter(lengths)
-    plan = packing.Plan(dict(counts))
+    plan = packing.Plan.best(dict(counts)) if seed < 4 else packing.Plan(dict(counts), groups=(48, 24)[seed % 2])
     bins, seen = {}, Counter()
     for n, a, b, seq, offset in plan.runs:
         seen[n] += b - a
@@ -153,7 +153,7 @@ def test_plan_is_whole_and_close_to_best(seed):
                 break
         else:
             first_fit.append(1024 - n)
-    assert len(bins) <= 1.01 * len(first_fit) + 3
+    assert len(bins) <= (1.0 if seed < 4 else 1.06) * len(first_fit)
 
 
 # --- op 10
@@ -217,7 +217,7 @@ def test_caps_recall_on_the_table(spark):
 
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    extra = docs_of(spark, EDGE).select(*docs.columns)
+    extra = docs_of(spark, [(None if i is None else i + 10**6, *rest) for i, *rest in EDGE]).select(*docs.columns)
     docs = docs.unionByName(extra)
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language ID", "SimHash near-dedup", "secret scans", "mixing", "packing"]
@@ -238,7 +238,7 @@ def test_pipeline_stages(spark, sf):
     # 3: base patterns are gone, texts without a span are unchanged
     three = spark.createDataFrame(stages[names[2]](spark, two, sf).collect(), docs.schema)
     before = {r.doc_id: r.text for r in two.collect()}
-    assert three.count() == two.count()
+    assert three.count() == two.count() == len(before)
     for r in three.collect():
         spans = secrets.base_spans(before[r.doc_id] or "")
         assert (r.text == before[r.doc_id]) or "<SECRET>" in r.text
