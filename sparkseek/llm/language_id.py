@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,9 @@ MAX_LANGUAGES = 64
 ALPHA = 0.1
 UNKNOWN = "und"
 #: Words whose scores a worker keeps; the table is emptied when full.
-CACHE = 250_000
+CACHE = 400_000
+#: Texts that a worker scores at a time.
+BLOCK = 400
 _CLEAN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _LETTER = re.compile("[A-Za-z]")
 
@@ -85,28 +86,21 @@ def train(docs: DataFrame, lang: str = "lang", id_col: str = "doc_id", path: str
     return names, tables
 
 
-def scorer(names: list[str], tables: np.ndarray, path: str):
-    """Function text -> (language, posterior)."""
-    if not names:
-        return lambda text: (UNKNOWN, 0.0)
-    model, cache = lattice.Lattice(path, tables), {}
+class Scorer:
+    """Languages and posteriors of texts."""
 
-    def score(text: str | None) -> tuple[str, float]:
-        if not has_letter(text):
-            return UNKNOWN, 0.0
-        total = [0.0] * len(names)
-        for word, n in Counter(words_of(text)).items():
-            one = cache.get(word)
-            if one is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                one = cache[word] = model.word(word.decode("utf-8", "replace"))
-            for k, x in enumerate(one):
-                total[k] += n * x
-        top = max(total)
-        return names[total.index(top)], 1.0 / sum(exp(x - top) for x in total)
+    def __init__(self, names: list[str], tables: np.ndarray, path: str) -> None:
+        self.names = names
+        self.words = lattice.WordScores(lattice.Lattice(path, tables), CACHE) if names else None
 
-    return score
+    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        if not self.names:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        known = np.array([has_letter(t) for t in texts], bool)
+        total = self.words.totals([Counter(words_of(t)) if k else {} for t, k in zip(texts, known, strict=True)])
+        best = total.argmax(axis=1)
+        posterior = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        return [self.names[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)], np.where(known, posterior, 0.0)
 
 
 def predict(docs: DataFrame, keep: list[str], model: tuple[list[str], np.ndarray], text: str = "text", path: str | None = None) -> DataFrame:
@@ -117,10 +111,10 @@ def predict(docs: DataFrame, keep: list[str], model: tuple[list[str], np.ndarray
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(*shipped.value, path)
+        scorer = Scorer(*shipped.value, path)
         for b in batches:
-            found = [score(t.as_py()) for t in b.column(len(keep))]
-            new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            found = [scorer.score(b.column(len(keep)).slice(lo, BLOCK).to_pylist()) for lo in range(0, b.num_rows, BLOCK)]
+            new = [pa.array([x for names, _ in found for x in names], pa.string()), pa.array(np.concatenate([p for _, p in found]) if found else np.zeros(0))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *new], [*keep, "lang_pred", "score"])
 
     return map_arrow(rows, run, schema)

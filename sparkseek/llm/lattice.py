@@ -63,64 +63,106 @@ class Lattice:
         """``tables``: (models, pieces) log probabilities."""
         _, pieces = load(path)
         self.models = len(tables)
-        cols = np.ascontiguousarray(tables.T).tolist()
-        self.lp = {p: tuple(cols[i]) for i, p in enumerate(pieces) if p is not None and not (p.startswith("<0x") and p.endswith(">"))}
-        self.byte = {int(p[3:5], 16): tuple(cols[i]) for i, p in enumerate(pieces) if p is not None and p.startswith("<0x") and p.endswith(">")}
-        self.longest = max(map(len, self.lp))
-        self.starts = {p[:3] for p in self.lp if len(p) >= 3}
-
-    def word(self, word: str) -> tuple[float, ...]:
-        s, lp, longest, starts = MARK + word, self.lp, self.longest, self.starts
-        n = len(s)
-        into: list[list] = [[] for _ in range(n + 1)]
+        self.table = np.ascontiguousarray(tables.T)
+        is_byte = [p is not None and p.startswith("<0x") and p.endswith(">") for p in pieces]
+        self.row = {p: i for i, p in enumerate(pieces) if p is not None and not is_byte[i]}
+        self.byte = {int(p[3:5], 16): i for i, p in enumerate(pieces) if is_byte[i]}
+        self.longest = max(map(len, self.row))
+        self.starts = {p[:3] for p in self.row if len(p) >= 3}
+        self.spelt: dict[str, int] = {}
+
+    def _spell(self, char: str) -> int:
+        """Row of a character outside the vocabulary: the sum of its bytes' rows, added when it is first met."""
+        at = self.spelt.get(char)
+        if at is None:
+            at = self.spelt[char] = len(self.table)
+            own = self.table[[self.byte[b] for b in char.encode("utf-8", "surrogatepass")]].sum(axis=0)
+            self.table = np.vstack([self.table, own])
+        return at
+
+    def _edges(self, word: str) -> tuple[list[int], list[int], list[int]]:
+        """(start, end, row) of every piece in the word's lattice."""
+        s, row, longest, starts = MARK + word, self.row, self.longest, self.starts
+        n, froms, tos, rows = len(s), [], [], []
         for i in range(n):
-            one = lp.get(s[i])
-            if one is None:
-                one = tuple(sum(x) for x in zip(*(self.byte[b] for b in s[i].encode("utf-8", "surrogatepass")), strict=True))
-            into[i + 1].append((i, one))
-            if (p := lp.get(s[i : i + 2])) is not None and i + 2 <= n:
-                into[i + 2].append((i, p))
-            if i + 3 <= n and s[i : i + 3] in starts:
-                for j in range(i + 3, min(n, i + longest) + 1):
-                    if (p := lp.get(s[i:j])) is not None:
-                        into[j].append((i, p))
-        out = []
-        for m in range(self.models):
-            a = [0.0] * (n + 1)
-            for j in range(1, n + 1):
-                edges = into[j]
-                if len(edges) == 1:
-                    i, p = edges[0]
-                    a[j] = a[i] + p[m]
-                else:
-                    terms = [a[i] + p[m] for i, p in edges]
-                    top = max(terms)
-                    a[j] = top + log(sum([exp(x - top) for x in terms]))
-            out.append(a[n])
-        return tuple(out)
-
-    def expected(self, word: str) -> dict[str, float]:
-        """Expected piece counts of a word over all its segmentations under the first model (forward-backward)."""
-        s = MARK + word
-        n, edges = len(s), []
-        for i in range(n):
-            one = self.lp.get(s[i])
-            if one is None:
-                spelt = s[i].encode("utf-8", "surrogatepass")
-                edges.append((i, i + 1, tuple(f"<0x{b:02X}>" for b in spelt), sum(self.byte[b][0] for b in spelt)))
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if (p := self.lp.get(s[i:j])) is not None:
-                    edges.append((i, j, (s[i:j],), p[0]))
+            one = row.get(s[i])
+            froms.append(i)
+            tos.append(i + 1)
+            rows.append(self._spell(s[i]) if one is None else one)
+            if i + 2 <= n:
+                one = row.get(s[i : i + 2])
+                if one is not None:
+                    froms.append(i)
+                    tos.append(i + 2)
+                    rows.append(one)
+                if s[i : i + 3] in starts:
+                    for j in range(i + 3, min(n, i + longest) + 1):
+                        one = row.get(s[i:j])
+                        if one is not None:
+                            froms.append(i)
+                            tos.append(j)
+                            rows.append(one)
+        return froms, tos, rows
+
+    def words(self, words: list[str], block: int = 8000, long: int = 40) -> np.ndarray:
+        """(words, models) log marginal probabilities: the forward recursion over many words, position by position."""
+        out = np.empty((len(words), self.models))
+        short = [k for k, w in enumerate(words) if len(w) <= long]
+        for k in (k for k, w in enumerate(words) if len(w) > long):
+            out[k] = self.word(words[k])
+        for lo in range(0, len(short), block):
+            part = short[lo : lo + block]
+            froms, tos, rows, sizes = [], [], [], []
+            for k in part:
+                f, t, r = self._edges(words[k])
+                froms += f
+                tos += t
+                rows += r
+                sizes.append(len(f))
+            word = np.repeat(np.arange(len(part)), sizes)
+            start, end, row = np.array(froms), np.array(tos), np.array(rows)
+            order = np.argsort(end, kind="stable")  # by end, then word
+            word, start, end, row = word[order], start[order], end[order], row[order]
+            length = np.array([len(words[k]) + 1 for k in part])
+            a = np.zeros((len(part), length.max() + 1, self.models))
+            cuts = np.searchsorted(end, np.arange(1, length.max() + 2))
+            for j in range(1, length.max() + 1):
+                x, y = cuts[j - 1], cuts[j]
+                own = word[x:y]
+                terms = a[own, start[x:y]] + self.table[row[x:y]]
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                top = np.maximum.reduceat(terms, first, axis=0)
+                n = np.diff(np.r_[first, len(own)])
+                a[own[first], j] = top + np.log(np.add.reduceat(np.exp(terms - np.repeat(top, n, axis=0)), first, axis=0))
+            out[part] = a[np.arange(len(part)), length]
+        return out
+
+    def word(self, word: str) -> np.ndarray:
+        """Log marginal probabilities of one word of any length."""
+        froms, tos, rows = self._edges(word)
+        lp = self.table[rows]
+        a = np.full((len(word) + 2, self.models), -inf)
+        a[0] = 0.0
+        for i, j, p in zip(froms, tos, lp, strict=True):  # by start, so every a[i] is final when it is used
+            a[j] = np.logaddexp(a[j], a[i] + p)
+        return a[-1]
+
+    def expected(self, word: str) -> dict[int, float]:
+        """Expected counts of pieces, by id, over all segmentations under the first model (forward-backward)."""
+        froms, tos, rows = self._edges(word)
+        lp = self.table[rows, 0].tolist()
+        n = len(word) + 1
         a, b = [-inf] * (n + 1), [-inf] * (n + 1)
         a[0] = b[n] = 0.0
-        for i, j, _, p in edges:  # by start, so every a[i] is final when it is used
+        for i, j, p in zip(froms, tos, lp, strict=True):
             a[j] = _add(a[j], a[i] + p)
-        for i, j, _, p in reversed(edges):
+        for i, j, p in zip(reversed(froms), reversed(tos), reversed(lp), strict=True):
             b[i] = _add(b[i], b[j] + p)
-        out: dict[str, float] = {}
-        for i, j, pieces, p in edges:
+        out: dict[int, float] = {}
+        spelt = {at: [self.byte[x] for x in c.encode("utf-8", "surrogatepass")] for c, at in self.spelt.items()}
+        for i, j, row, p in zip(froms, tos, rows, lp, strict=True):
             share = exp(min(0.0, a[i] + p + b[j] - a[n]))
-            for piece in pieces:
+            for piece in spelt.get(row, (row,)):
                 out[piece] = out.get(piece, 0.0) + share
         return out
 
@@ -128,3 +170,40 @@ class Lattice:
 def _add(x: float, y: float) -> float:
     hi, lo = (x, y) if x >= y else (y, x)
     return hi + log1p(exp(lo - hi)) if lo > -inf else hi
+
+
+class WordScores:
+    """Rows of a growing table by word, so that texts add up arrays; emptied when it holds ``limit`` words."""
+
+    def __init__(self, model: Lattice, limit: int) -> None:
+        self.model, self.limit = model, limit
+        self.at: dict[bytes, int] = {}
+        self.table = np.zeros((0, model.models))
+
+    def add(self, words: set[bytes]) -> None:
+        """Make sure that all ``words`` have rows."""
+        new = words - self.at.keys()
+        if len(self.at) + len(new) > self.limit and self.at:
+            self.at, self.table, new = {}, self.table[:0], words
+        if not new:
+            return
+        names, n = list(new), len(self.at)
+        if n + len(names) > len(self.table):
+            grown = np.zeros((max(2 * len(self.table), n + len(names), 4096), self.model.models))
+            grown[:n] = self.table[:n]
+            self.table = grown
+        self.table[n : n + len(names)] = self.model.words([w.decode("utf-8", "replace") for w in names])
+        self.at.update(zip(names, range(n, n + len(names)), strict=True))
+
+    def totals(self, texts: list[dict[bytes, int]]) -> np.ndarray:
+        """(texts, models): sums of the words' scores, times their counts."""
+        self.add(set().union(*texts) if texts else set())
+        rows = np.fromiter((r for t in texts for r in map(self.at.__getitem__, t)), np.int64)
+        n = np.fromiter((x for t in texts for x in t.values()), float, len(rows))
+        sizes = [len(t) for t in texts]
+        ends = np.cumsum([0, *sizes])
+        out = np.zeros((len(texts), self.model.models))
+        full = np.flatnonzero(sizes)
+        if len(full):
+            out[full] = np.add.reduceat(self.table[rows] * n[:, None], ends[full], axis=0)
+        return out

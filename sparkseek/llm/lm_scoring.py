@@ -79,7 +79,6 @@ def train_pieces(words: DataFrame, ends: int, path: str, alpha: float = ALPHA, r
     times or more, rounds of expectation-maximisation over all segmentations replace theirs.
     """
     size = len(lattice.load(path)[1])
-    number = {p: i for i, p in enumerate(lattice.load(path)[1]) if p is not None}
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, size))
@@ -107,7 +106,7 @@ def train_pieces(words: DataFrame, ends: int, path: str, alpha: float = ALPHA, r
             for b in batches:
                 for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     for piece, share in model.expected(w.decode("utf-8", "replace")).items():
-                        found[0, number[piece]] += c * share
+                        found[0, piece] += c * share
             yield from rows_of(found)
 
         counts[0] = _pieces(frequent, again, size)[0]
@@ -125,7 +124,7 @@ def word_scores(words: DataFrame, table: np.ndarray, path: str, total: int, dist
         for b in batches:
             model = model or lattice.Lattice(path, shipped.value[None, :])
             c = b.column(1).to_numpy()
-            lp = np.array([model.word(w.decode("utf-8", "replace"))[0] for w in b.column(0).to_pylist()]) / log(10)
+            lp = model.words([w.decode("utf-8", "replace") for w in b.column(0).to_pylist()])[:, 0] / log(10)
             new = [b.column(2), pa.array((c > 0).astype(np.int64)), pa.array(np.rint((np.log10(c + 1) - shift) * UNIT).astype(np.int64)), pa.array(np.rint(lp * UNIT).astype(np.int64))]
             yield pa.RecordBatch.from_arrays([b.column(0), *new], ["word", "t", "known", "base", "lp"])
 
