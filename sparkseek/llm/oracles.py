@@ -35,8 +35,8 @@ def url_filters(order: int = 3, mass: float = 2.0, alphabet: int = 128) -> str:
         FROM tg, range(0, {order} + 1) r(k) GROUP BY ALL),
     ctx AS (SELECT *, CAST(round(({ratio}) * 1e6) AS BIGINT) AS own FROM
         (SELECT k, substr(gram, 1, k) AS ctx, sum(ny) AS cy, sum(nn) AS cn FROM cnt GROUP BY ALL)),
-    b0 AS (SELECT ctx, cy, cn, 0 AS b FROM ctx WHERE k = 0),
-    p0 AS (SELECT gram, (ny + {mass / alphabet}) / (cy + {mass}) AS py, (nn + {mass / alphabet}) / (cn + {mass}) AS pn, 0 AS b FROM cnt, b0 WHERE k = 0),
+    b0 AS (SELECT ctx, cy, cn, own AS b FROM ctx WHERE k = 0),
+    p0 AS (SELECT gram, (ny + {mass / alphabet}) / (cy + {mass}) AS py, (nn + {mass / alphabet}) / (cn + {mass}) AS pn, b FROM cnt, b0 WHERE k = 0),
     {", ".join(parts)}, {es},
     todo AS (SELECT DISTINCT text FROM lab WHERE held UNION SELECT DISTINCT text FROM pages2 WHERE hit IS NULL AND text <> ''),
     tog AS (SELECT text, {grams} FROM (SELECT text, {pad} FROM todo)),

@@ -68,10 +68,10 @@ def train(urls: DataFrame, text: str = "text", label: str = "accepted", order: i
     # Log back-off weights of contexts, summed from the shortest: join each context to its suffix, order by order.
     log = lambda c: F.log(F.lit(mass) / (F.col(c) + mass))
     ctx = cut(ctx.withColumn("own", F.round((log("cy") - log("cn")) * 1e6).cast("long")))
-    level = ctx.filter("k = 0").select("k", "ctx", "cy", "cn", F.lit(0).cast("long").alias("b"))
-    totals = level.select("cy", "cn").first()  # the empty context: one row
+    level = ctx.filter("k = 0").select("k", "ctx", "cy", "cn", F.col("own").alias("b"))
+    totals = level.select("cy", "cn", "b").first()  # the empty context: one row
     first = lambda n, c: (F.col(n) + mass / alphabet) / F.lit(float(totals[c] + mass))
-    probs = counts.filter("k = 0").select("gram", first("ny", "cy").alias("py"), first("nn", "cn").alias("pn"), F.lit(0).cast("long").alias("b"))
+    probs = counts.filter("k = 0").select("gram", first("ny", "cy").alias("py"), first("nn", "cn").alias("pn"), F.lit(int(totals["b"])).cast("long").alias("b"))
     grams, backs = [probs.withColumn("k", F.lit(0))], [level.select("k", "ctx", "b")]
     for k in range(1, order + 1):
         prev_b = backs[-1].select(F.col("ctx").alias("suf"), F.col("b").alias("b0"))
