@@ -7,12 +7,13 @@
 5. packing: documents become pieces in sequences of at most 1024 tokens.
 
 Each stage works on all that the one before kept, learns from its own input and is written as Parquet in between. All but
-the last return the columns of their input. Rows are told apart by a row number that is written with them, so null or
-repeated ids are safe. An empty table passes through every stage.
+the last return the columns of their input. Rows are told apart by their place in the files, so null or repeated ids are
+safe. An empty table passes through every stage.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +25,21 @@ LEAST_SCORE = 0.5
 REDACTED = "<SECRET>"
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key that no other row has, and the key's name.
+
+    A table that was read from files has one for nothing: the file and the row's place in it, the same however the scan
+    is split. Any other table is numbered and written.
+    """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    if "_metadata" not in docs.columns:
+        try:
+            return docs.withColumn(name, F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index"))), name
+        except AnalysisException:
+            pass
+    return cut(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +49,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(docs)
-    found = simhash.near_duplicates(rows, ["_row", "doc_id"])
+    rows, key = _numbered(docs)
+    found = simhash.near_duplicates(rows.select("doc_id", "text", F.col(key).alias("_row")), ["_row", "doc_id"])
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("m"))
-    return rows.join(first.select("m._row"), "_row", "left_semi").select(*docs.columns)
+    return rows.join(first.select(F.col("m._row").alias(key)), key, "left_semi").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +62,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(docs)
-    taken = mixing.mix(rows.select("_row", "doc_id", "text", "source"), ["_row"])
-    times = taken.filter("taken > 0").select("_row", F.expr("cast(taken div size as int)").alias("_n"))
-    return rows.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    rows, key = _numbered(docs)
+    taken = mixing.mix(rows.select("doc_id", "text", "source", F.col(key).alias("_row")), ["_row"])
+    copies = taken.filter("taken > 0").select(F.col("_row").alias(key), F.explode(F.sequence(F.lit(1), F.expr("cast(taken div size as int)"))).alias("_copy"))
+    return rows.join(copies.drop("_copy"), key).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
