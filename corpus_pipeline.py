@@ -42,10 +42,15 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return cut(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """Each row as one struct beside its text, so that no column's name meets one that an operator adds."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = language_id.predict(docs, docs.columns, language_id.train(docs))
+    judged = language_id.predict(_whole(docs), ["row"], language_id.train(docs))
     kept = judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return kept.select(F.col("row").withField("lang", F.col("lang_pred")).alias("row")).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +61,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(docs, docs.columns, secrets.train(docs), redact=REDACTED)
-    changed = F.col("spans") != ""
-    return found.withColumns({"text": F.col("redacted"), "n_chars": F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    found = secrets.find_secrets(_whole(docs), ["row"], secrets.train(docs), redact=REDACTED)
+    changed = F.col("row").withField("text", F.col("redacted")).withField("n_chars", F.length("redacted").cast("long"))
+    return found.select(F.when(F.col("spans") != "", changed).otherwise(F.col("row")).alias("row")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -254,6 +254,21 @@ def test_pipeline_stages(spark, sf):
     assert max(r.offset + r.length for r in five) <= 1024
 
 
+def test_pipeline_with_clashing_columns(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    clash = {c: F.lit(c) for c in ("_row", "row", "score", "lang_pred", "spans", "redacted", "size", "rank", "fp", "component", "_text", "h", "last", "_lang", "_h", "target")}
+    docs.withColumns(clash).write.parquet(str(tmp_path / "documents.parquet"))
+    docs.write.parquet(str(tmp_path / "plain" / "documents.parquet"))
+    frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, "")
+        assert out.columns == frame.columns
+        assert all(r[c] == c for r in out.collect() for c in clash)
+    key = lambda r: (r.doc_id, r.piece, r.length, r.ids_crc32)
+    runs = [corpus_pipeline.run(spark, str(tmp_path / p)).collect() for p in ("", "plain")]
+    assert sorted(map(key, runs[0])) == sorted(map(key, runs[1]))
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     empty.write.parquet(str(tmp_path / "documents.parquet"))
