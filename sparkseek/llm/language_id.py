@@ -47,21 +47,26 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (_LETTER.search(text) is not None or any(c.isalpha() for c in text))
 
 
-def sample(docs: DataFrame, lang: str, id_col: str, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> DataFrame:
-    """At most ``per_language`` labelled rows of each frequent language: those with the smallest hashes of id and text."""
-    rows = docs.filter(F.col(lang).isNotNull() & F.col("text").isNotNull())
-    keyed = rows.withColumn("_h", F.xxhash64(F.col(id_col), F.col("text")))
-    slim = cut(keyed.select(F.col(lang).alias("_lang"), "_h"))
-    top = slim.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_languages).select("_lang")
-    ranked = slim.join(F.broadcast(top), "_lang").withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy("_h")))
-    last = ranked.filter(F.col("_r") <= per_language).groupBy("_lang").agg(F.max("_h").alias("_last"))
-    return keyed.join(F.broadcast(last), (F.col(lang) == F.col("_lang")) & (F.col("_h") <= F.col("_last"))).select("_lang", "text")
-
-
-def train(docs: DataFrame, lang: str = "lang", id_col: str = "doc_id", path: str | None = None, **bounds: int) -> tuple[list[str], np.ndarray]:
+def sample(docs: DataFrame, lang: str, id_col: str, text: str = "text", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> DataFrame:
+    """``(lang, text)`` of at most ``per_language`` labelled rows of each frequent language, those with the smallest hashes.
+
+    A filter on the hash leaves about that many rows of each language before any are ranked, so a language with most of
+    the rows is no larger a task than another.
+    """
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(id_col), F.col(text)).alias("h"))
+    slim = cut(rows.filter("lang is not null and text is not null").select("lang", "h"))
+    top = slim.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    share = F.least(F.lit(1.0), F.lit(1.1 * per_language + 1000) / F.col("count"))
+    near = slim.join(F.broadcast(top), "lang").filter(F.col("h").cast("double") <= F.lit(-(2.0**63)) + F.lit(2.0**64) * share)
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    last = ranked.filter(F.col("r") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
+    return rows.filter("text is not null").join(F.broadcast(last), "lang").filter("h <= last").select("lang", "text")
+
+
+def train(docs: DataFrame, lang: str = "lang", id_col: str = "doc_id", text: str = "text", path: str | None = None, **bounds: int) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities by language and piece); at most MAX_LANGUAGES x pieces numbers reach the driver."""
     path = path or lattice.vocabulary_path()
-    rows = sample(docs, lang, id_col, **bounds)
+    rows = sample(docs, lang, id_col, text, **bounds)
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("piece", T.IntegerType()), T.StructField("n", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
