@@ -131,6 +131,21 @@ def word_scores(words: DataFrame, table: np.ndarray, path: str, total: int, dist
     return map_arrow(words.select("word", "c", "t"), run, schema)
 
 
+def frequent_words(scored: DataFrame) -> DataFrame:
+    """The most frequent words, at most ``HEAD`` of at most ``HEAD_BYTES`` bytes.
+
+    The cut is a frequency: a histogram of frequencies by eighths of a power of two says from which on they are few
+    enough. Only a row a histogram bin and the words themselves reach the driver.
+    """
+    short = scored.filter(F.length("word") <= HEAD_BYTES).withColumn("_bin", F.floor(F.log2("t") * 8))
+    least, seen = None, 0
+    for b, n in sorted(((r[0], r[1]) for r in short.groupBy("_bin").count().collect()), reverse=True):
+        if seen + n > HEAD:
+            break
+        least, seen = b, seen + n
+    return short.filter(F.lit(False) if least is None else F.col("_bin") >= least)
+
+
 def score(docs: DataFrame, trains: Column, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
     """``keep`` plus n_tokens, n_known, train_tokens, base_score and score of every row."""
     path = path or lattice.vocabulary_path()
@@ -140,8 +155,7 @@ def score(docs: DataFrame, trains: Column, keep: list[str], text: str = "text",
     total, distinct = total + ends, distinct + (ends > 0)
     table, end = train_pieces(words, ends, path)
     scored = cut(word_scores(words, table, path, total, distinct))
-    top = scored.filter(F.length("word") <= HEAD_BYTES).orderBy(F.desc("t"), "word").limit(HEAD)
-    head = {bytes(w): (k, b, p) for w, k, b, p in top.select("word", "known", "base", "lp").toPandas().itertuples(index=False)}
+    head = {bytes(w): (k, b, p) for w, k, b, p in frequent_words(scored).select("word", "known", "base", "lp").toPandas().itertuples(index=False)}
     shipped = docs.sparkSession.sparkContext.broadcast(head)
     last = (int(ends > 0), round((log10(ends + 1) - log10(total + distinct + 1)) * UNIT), round(end / log(10) * UNIT))
     rows = docs.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias("_text"))
