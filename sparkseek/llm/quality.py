@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkseek.llm._common import cut, map_arrow
+from sparkseek.llm._common import cut, hash_sample, map_arrow
 
 TREES, PSI, SEED = 200, 64, 9
 KEEP_GOOD = 0.998
@@ -144,7 +144,7 @@ def average_path(n: int) -> float:
 def fit(stats: DataFrame, id_col: str = "doc_id", trees: int = TREES, psi: int = PSI) -> IsolationForest:
     """A forest on the at most ``trees * psi`` rows that pass the base rules and have the smallest hashes."""
     key = F.xxhash64(F.lit(SEED), F.col(id_col), *[F.col(c) for c in FEATURES])
-    rows = stats.filter(~F.col("base_failed")).select(*FEATURES, key.alias("_h")).orderBy("_h", *FEATURES).limit(trees * psi).select(*FEATURES).toPandas()
+    rows = hash_sample(stats.filter(~F.col("base_failed")), key, trees * psi).orderBy("_hash", *FEATURES).select(*FEATURES).toPandas()
     return IsolationForest(rows.to_numpy(float), trees, psi)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkseek.llm._common import map_arrow
+from sparkseek.llm._common import hash_sample, map_arrow
 
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ASSIGN_WORDS = ("pass", "secret", "token", "api")
@@ -82,8 +82,7 @@ def random_strings(n: int = 3000, seed: int = SEED) -> list[str]:
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, float]:
     """(log ratio table, threshold) from a bounded sample: the driver gets counts and at most a few MB of strings."""
     key = F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text))
-    rows = docs.filter(F.col(text).isNotNull()).select(key.alias("h"))
-    last = rows.orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    last = hash_sample(docs.filter(F.col(text).isNotNull()).select(id_col, text), key, sample_docs).agg(F.max("_hash")).first()[0]
     secrets, ordinary = set(), set()
     if last is not None:
         schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("s", T.StringType())])
@@ -94,7 +93,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample_do
                 kinds, values = zip(*sorted(found), strict=True) if found else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.string())], ["kind", "s"])
 
-        picked = map_arrow(docs.filter(key <= last).select(text).limit(2 * sample_docs), run, schema).distinct()
+        picked = map_arrow(docs.filter(F.col(text).isNotNull() & (key <= last)).select(text), run, schema).distinct()
         for kind, s in picked.orderBy(F.md5("s")).limit(100_000).collect():
             (secrets if kind else ordinary).add(s)
     held = sorted(s for s in ordinary if hashlib.md5(s.encode()).digest()[0] < 64)
