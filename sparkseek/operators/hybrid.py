@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkseek.functions import text as T
-from sparkseek.operators.bm25 import search
+from sparkseek.operators.bm25 import _small, search
 
 RRF_K = 60
 NO_ANSWER = "I could not find an answer in the provided documents."
@@ -47,15 +47,26 @@ def retrieve(
     left = dense(docs, questions, candidates) if dense and mode in ("hybrid", "dense") else none
     right = search(docs, questions, candidates, id, text) if mode in ("hybrid", "sparse") else none
     cut = candidate_cut(fuse(left, right), final_k, rerank_top_n if rerank else None)
-    hits = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(cut), "id")  # at most n candidates a question
+    return order_hits(docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(_small(cut), "id"), questions, final_k, rerank)
+
+
+def order_hits(hits: DataFrame, questions: DataFrame, final_k: int, rerank: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Final ``rank`` of fetched candidates: by the reranker's score if there is one, then by the fused rank."""
     order = [F.col("fused_rank")]
     if rerank:
-        hits = hits.join(F.broadcast(questions), "qid").withColumn("rerank_score", rerank(F.col("question"), F.col("text"))).drop("question")
+        hits = hits.join(_small(questions), "qid").withColumn("rerank_score", rerank(F.col("question"), F.col("text"))).drop("question")
         order = [F.col("rerank_score").desc(), F.col("fused_rank")]
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)).cast("long"))
     return ranked.filter(F.col("rank") <= final_k)
 
 
+def wire_form(hits: DataFrame, include_text: bool = True) -> DataFrame:
+    """Hits as they leave the engine: scores to five digits, half to even."""
+    scores = {c: F.bround(F.col(c), 5) for c in ("score", "rerank_score") if c in hits.columns}
+    out = hits.withColumns(scores)
+    return out if include_text else out.drop("text")
+
+
 def lexical_reranker(question: Column, passage: Column) -> Column:
     """Stand-in for a cross-encoder where no model is at hand: cosine of the token sets."""
     q, p = F.array_distinct(T.tokens(question)), F.array_distinct(T.tokens(passage))
@@ -69,8 +80,8 @@ def context_budget(hits: DataFrame, max_chars: int, label: str = "id") -> DataFr
     return hits.withColumn("block", block).withColumn("used", running).filter((F.col("rank") == 1) | (F.col("used") <= max_chars))
 
 
-def build_prompt(hits: DataFrame, questions: DataFrame, max_chars: int) -> DataFrame:
-    kept = context_budget(hits, max_chars).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("b"))
+def build_prompt(hits: DataFrame, questions: DataFrame, max_chars: int, label: str = "id") -> DataFrame:
+    kept = context_budget(hits, max_chars, label).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("b"))
     context = F.coalesce(F.array_join(F.transform("b", lambda x: x.block), "\n\n"), F.lit(""))
     return questions.join(kept, "qid", "left").select("qid", F.concat(F.lit("Context:\n"), context, F.lit("\n\nQuestion: "), F.col("question")).alias("prompt"))
 
@@ -79,7 +90,7 @@ def extractive_answer(hits: DataFrame, questions: DataFrame, n: int = 3) -> Data
     """The ``n`` sentences nearest to the question with their passage numbers, joined."""
     sents = hits.select("qid", "rank", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sent"))
     asked = questions.select("qid", F.array_distinct(T.tokens(F.col("question"))).alias("q"))
-    scored = sents.join(F.broadcast(asked), "qid").withColumn("s", F.array_distinct(T.tokens(F.col("sent")))).filter((F.size("q") > 0) & (F.size("s") > 0))
+    scored = sents.join(_small(asked), "qid").withColumn("s", F.array_distinct(T.tokens(F.col("sent")))).filter((F.size("q") > 0) & (F.size("s") > 0))
     scored = scored.withColumn("score", F.round(T.lexical_cosine(F.col("q"), F.col("s")), 9)).filter("score > 0")
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "rank", "pos")
     best = scored.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= n)

@@ -160,6 +160,13 @@ def operating_point(spark, d):
     return evaluate.operating_point(points, 0.5 * n).select("nprobe", "recall")
 
 
+def ivfpq_sweep(spark, d):
+    cells = _centroids(spark, d)
+    index = ivfpq.pq_encode(ivfpq.assign_cells(vectors(spark, d), cells), _books(spark, d), PQ_M, DIM)
+    truth = knn.exact_topk(vectors(spark, d), queries(spark, d), K)
+    return ivfpq.sweep(index, cells, queries(spark, d), _books(spark, d), truth, PQ_M, DIM, K, [1, 3], [0, 4])
+
+
 def index_stats(spark, d):
     return store.index_stats(vectors(spark, d), _delta(spark, d), SHARDS)
 
@@ -179,6 +186,11 @@ _PQ = f"""{_CENT}, bk AS (SELECT sub, id AS code, list_slice(v, sub * {_W} + 1,
 _SH = f"{S.VECTORS}, sh AS (SELECT *, id % {SHARDS} AS shard_id, row_number() OVER (PARTITION BY qid, id % {SHARDS} ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= {K})"
 _DELTA = "SELECT vec_id + 1000000 AS id, CAST(embedding AS DOUBLE[]) AS r FROM embeddings WHERE label = 0"
 _TOP = "SELECT qid, rank, id, round(score, 6) AS score FROM "
+_GRID = f"""{_PQ}, tr AS (SELECT qid, id FROM {S.top("s", K)}), gr AS (SELECT * FROM (VALUES (0), (4)) a(rerank), (VALUES (1), (3)) b(nprobe)),
+    sc AS (SELECT rerank, nprobe, ad.qid, ad.id, d FROM ad JOIN px USING (qid, id) JOIN gr ON cell_rank <= nprobe),
+    ct AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY rerank, nprobe, qid ORDER BY d, id) <= greatest(1, rerank) * {K}),
+    fi AS (SELECT rerank, nprobe, ct.qid, ct.id FROM ct JOIN s USING (qid, id) QUALIFY row_number() OVER (PARTITION BY rerank, nprobe, ct.qid ORDER BY CASE WHEN rerank > 0 THEN score ELSE -d END DESC, ct.id) <= {K}),
+    rc AS (SELECT rerank, nprobe, count(*) AS hits FROM fi JOIN tr USING (qid, id) GROUP BY ALL)"""
 _SWEEP = f"""{_CENT}, tr AS (SELECT qid, id FROM {S.top("s", K)}), sw(nprobe) AS (VALUES (1), (2), (4), (8)),
     pp AS (SELECT nprobe, px.* FROM px JOIN sw ON cell_rank <= nprobe), fo AS (SELECT nprobe, qid, id FROM {S.top("pp", K, "nprobe, qid")}),
     sp AS (SELECT CAST(nprobe AS BIGINT) AS nprobe, (SELECT count(*) FROM pp p2 WHERE p2.nprobe = fo.nprobe) AS scanned, round(count(*) / (SELECT count(DISTINCT qid) * {K} FROM s)::DOUBLE, 6) AS recall FROM fo JOIN tr USING (qid, id) GROUP BY nprobe)"""
@@ -202,5 +214,6 @@ QUERIES = {
     "ann_recall_at_k": (ann_recall_at_k, f"WITH {_CENT}, tr AS (SELECT qid, id FROM {S.top('s', K)}), fo AS (SELECT qid, id FROM {S.top('(SELECT * FROM px WHERE cell_rank <= 3)', K)}) SELECT round(count(*) / (SELECT count(DISTINCT qid) * {K} FROM tr)::DOUBLE, 6) AS recall FROM tr JOIN fo USING (qid, id)"),
     "nprobe_sweep": (nprobe_sweep, f"WITH {_SWEEP} SELECT * FROM sp"),
     "operating_point": (operating_point, f"WITH {_SWEEP} SELECT nprobe, recall FROM sp WHERE scanned <= 0.5 * (SELECT count(*) FROM s) ORDER BY recall DESC, nprobe LIMIT 1"),
+    "ivfpq_sweep": (ivfpq_sweep, f"WITH {_GRID} SELECT CAST(g.rerank AS BIGINT) AS rerank, CAST(g.nprobe AS BIGINT) AS nprobe, count(*) AS scanned, round(coalesce(any_value(rc.hits), 0) / (SELECT count(DISTINCT qid) * {K} FROM tr)::DOUBLE, 6) AS recall FROM sc g LEFT JOIN rc ON rc.rerank = g.rerank AND rc.nprobe = g.nprobe GROUP BY g.rerank, g.nprobe"),
     "index_stats": (index_stats, f"SELECT vec_id % {SHARDS} AS shard_id, count(*) AS n, 'shard' AS kind FROM embeddings GROUP BY ALL UNION ALL SELECT -1, count(*), 'delta' FROM embeddings WHERE label = 0"),
 }

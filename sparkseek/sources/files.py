@@ -157,3 +157,37 @@ def read_metadata(spark: SparkSession, path: str, id_field: str = "id") -> DataF
     lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
     fields = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, v: k != id_field)
     return lines.select(F.get_json_object("value", f"$['{id_field}']").cast("long").alias("id"), F.to_json(fields).alias("payload"))
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, v)`` of .npy matrices; the row number is the id (S10). Files of a folder follow each other by name.
+
+    Only headers are read for the row counts, then each file is parsed where it is read.
+    """
+    import numpy as np
+
+    ship(spark)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+
+    def rows(data: bytes) -> np.ndarray:
+        return np.load(io.BytesIO(data), allow_pickle=False)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "n": [len(rows(bytes(c))) for c in b["content"]]})
+
+    sizes = sorted((r["path"], r["n"]) for r in raw.mapInPandas(count, "path string, n long").collect())  # a row a file
+    starts, at = {}, 0
+    for name, n in sizes:
+        starts[name] = at
+        at += n
+
+    def parse_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b["path"], b["content"], strict=True):
+                x = rows(bytes(content))
+                for lo in range(0, len(x), 10_000):
+                    part = x[lo : lo + 10_000]
+                    yield pd.DataFrame({"id": starts[name] + lo + np.arange(len(part)), "v": list(part.astype(np.float32))})
+
+    return raw.mapInPandas(parse_all, "id long, v array<float>")

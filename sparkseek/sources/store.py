@@ -109,3 +109,14 @@ def cached_truth(spark: SparkSession, path: str, make, dataset: str, queries: st
     return spark.read.parquet(at)
 
 
+
+
+def write_jsonl(rows: DataFrame, path: str) -> int:
+    """JSON lines in UTF-8; the number of rows written (K7)."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    return rows.sparkSession.read.schema(rows.schema).json(path).count()
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A small table, such as statistics or an eval report, as one JSON file."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
