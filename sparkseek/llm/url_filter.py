@@ -49,7 +49,7 @@ def _grams(df: DataFrame, col: str, order: int, keep: list[str]) -> DataFrame:
     chars = F.concat(F.array_repeat(F.lit("\u0002"), order), F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0)), F.array(F.lit("\u0003")))
     at = df.select(*keep, chars.alias("_c"))
     grams = F.transform(F.sequence(F.lit(1), F.size("_c") - order), lambda i: F.array_join(F.slice("_c", i, order + 1), ""))
-    return at.select(*keep, F.explode(grams).alias("g"))
+    return at.select(*keep, F.explode_outer(grams).alias("g"))  # a plain explode filters on the array's size and computes it twice
 
 
 def train(urls: DataFrame, text: str = "text", label: str = "accepted", order: int = 3, mass: float = 2.0, alphabet: int = 128) -> DataFrame:

@@ -88,7 +88,7 @@ def build_prompt(hits: DataFrame, questions: DataFrame, max_chars: int, label: s
 
 def extractive_answer(hits: DataFrame, questions: DataFrame, n: int = 3) -> DataFrame:
     """The ``n`` sentences nearest to the question with their passage numbers, joined."""
-    sents = hits.select("qid", "rank", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sent"))
+    sents = hits.select("qid", "rank", F.posexplode_outer(T.sentences(F.col("text"))).alias("pos", "sent"))
     asked = questions.select("qid", F.array_distinct(T.tokens(F.col("question"))).alias("q"))
     scored = sents.join(_small(asked), "qid").withColumn("s", F.array_distinct(T.tokens(F.col("sent")))).filter((F.size("q") > 0) & (F.size("s") > 0))
     scored = scored.withColumn("score", F.round(T.lexical_cosine(F.col("q"), F.col("s")), 9)).filter("score > 0")

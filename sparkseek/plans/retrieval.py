@@ -60,7 +60,7 @@ def stopword_filter_counts(spark, d):
 
 
 def bigram_counts(spark, d):
-    g = docs(spark, d).select(T.tokens(F.col("text"), False).alias("t")).select(F.explode(T.bigrams(F.col("t"))).alias("gram"))
+    g = docs(spark, d).select(T.tokens(F.col("text"), False).alias("t")).select(F.explode_outer(T.bigrams(F.col("t"))).alias("gram")).filter("gram is not null")
     return g.groupBy("gram").agg(F.count("*").alias("n"))
 
 
@@ -97,7 +97,7 @@ def lexical_ranker(d: DataFrame, q: DataFrame, k: int) -> DataFrame:
 
     The overlap is counted over shared terms, so no pair of a question and a document without one is made.
     """
-    ds = d.select(F.col("doc_id").alias("id"), F.array_distinct(T.tokens(F.col("text"))).alias("s")).select("id", F.size("s").alias("m"), F.explode("s").alias("term"))
+    ds = d.select(F.col("doc_id").alias("id"), F.array_distinct(T.tokens(F.col("text"))).alias("s")).select("id", F.size("s").alias("m"), F.explode_outer("s").alias("term"))
     qs = q.select("qid", F.array_distinct(T.tokens(F.col("question"))).alias("t")).select("qid", F.size("t").alias("l"), F.explode("t").alias("term"))
     hits = ds.join(bm25._small(qs), "term").groupBy("qid", "id", "l", "m").agg(F.count("*").alias("c"))
     score = F.round(F.col("c") / (F.sqrt(F.col("l").cast("double")) * F.sqrt(F.col("m").cast("double"))), 9)
@@ -159,7 +159,7 @@ def _relevant(spark, d):
     Candidates share the passage's rarest-looking token: its longest, so the containment test runs on matches only.
     """
     q = questions(spark, d).withColumn("key", F.array_max(F.transform(T.tokens(F.col("question")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))).t)
-    rows = docs(spark, d).select("doc_id", "text", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("key"))
+    rows = docs(spark, d).select("doc_id", "text", F.explode_outer(F.array_distinct(T.tokens(F.col("text")))).alias("key"))
     pairs = rows.join(bm25._small(q), "key").filter(F.contains("text", "question"))
     return pairs.groupBy("qid").agg(F.sort_array(F.collect_set("doc_id")).alias("relevant_ids"))
 

@@ -110,7 +110,7 @@ def chunk_documents(docs: DataFrame, size: int, overlap: int, min_chars: int = 1
     """``(doc_id, source, position, text)``: blank documents give nothing, short chunks go before positions count."""
     rows = docs.filter(F.length(T.strip(F.col(text))) > 0)
     kept = F.filter(T.chunks(F.col(text), size, overlap), lambda c: F.length(c) >= min_chars)
-    rows = rows.select(F.col(id).alias("doc_id"), F.posexplode(kept).alias("position", "text"))
+    rows = rows.select(F.col(id).alias("doc_id"), F.posexplode_outer(kept).alias("position", "text")).filter("position is not null")
     return rows.select("doc_id", F.col("doc_id").alias("source"), "position", "text")
 
 
