@@ -82,19 +82,32 @@ def hash_order(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def hash_rank(rows: DataFrame, key: str, seed: int, col: str = "lang_code") -> DataFrame:
+    """``pos``, the row number of each group in the seeded order, and ``size``, the rows of the group.
+
+    The first digits of the hash deal every group into 4096 buckets of like size. Rows are numbered inside a bucket and
+    start after the group's buckets before it, so a group with a third of all rows spreads over many tasks.
+    """
+    keyed = rows.withColumn("_h", hash_order(seed, F.col(key))).withColumn("_b", F.substring("_h", 1, 3))
+    sizes = keyed.groupBy(F.col(col).alias("_g"), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_g").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_g", "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy("_g")).alias("size"))
+    inside = F.row_number().over(Window.partitionBy(col, "_b").orderBy("_h", key))
+    ranked = keyed.withColumn("_r", inside).join(starts, F.col(col).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_c")))
+    return ranked.withColumn("pos", F.col("_start") + F.col("_r")).drop("_h", "_b", "_g", "_c", "_start", "_r")
+
+
 def balanced_sample(rows: DataFrame, alloc: DataFrame, key: str, seed: int = 0, col: str = "lang_code") -> DataFrame:
     """The ``alloc`` rows of each language that come first in the seeded order."""
-    order = Window.partitionBy(col).orderBy(hash_order(seed, F.col(key)), key)
-    ranked = rows.join(F.broadcast(alloc.select(col, "alloc")), col).withColumn("pos", F.row_number().over(order).cast("long"))
-    return ranked.filter(F.col("pos") <= F.col("alloc"))
+    wanted = F.broadcast(alloc.select(col, "alloc"))  # a row a language
+    return hash_rank(rows, key, seed, col).join(wanted, col).filter(F.col("pos") <= F.col("alloc")).drop("size")
 
 
 def stratified_split(rows: DataFrame, fraction: float, most: int, key: str, seed: int = 0, col: str = "lang_code") -> DataFrame:
     """``split``: train or val. A language gives min(most, max(1, round half even of n * fraction)) to val, none if it has one row."""
-    n = F.count("*").over(Window.partitionBy(col))
-    order = Window.partitionBy(col).orderBy(hash_order(seed, F.col(key)), key)
+    n = F.col("size")
     n_val = F.when(n < 2, 0).otherwise(F.least(F.lit(most), F.greatest(F.lit(1), F.bround(n * F.lit(float(fraction))).cast("long"))))
-    return rows.withColumn("split", F.when(F.row_number().over(order) <= n_val, "val").otherwise("train"))
+    return hash_rank(rows, key, seed, col).withColumn("split", F.when(F.col("pos") <= n_val, "val").otherwise("train")).select(*rows.columns, "split")
 
 
 def split_stats(split: DataFrame, raw: DataFrame, col: str = "lang_code") -> DataFrame:

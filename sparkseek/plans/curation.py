@@ -78,7 +78,7 @@ def split_stats(spark, d):
 def global_shuffle(spark, d):
     """Seeded order of the training rows, as a rank."""
     rows = stratified_split(spark, d).filter("split = 'train'")
-    return rows.select("doc_id", F.row_number().over(Window.partitionBy("lang_code").orderBy(curate.hash_order(SEED + 1, F.col("doc_id")), "doc_id")).cast("long").alias("pos"))
+    return curate.hash_rank(rows, "doc_id", SEED + 1).select("doc_id", "pos")
 
 
 def _pairs(spark, d):
@@ -165,8 +165,9 @@ def metadata_latest_wins(spark, d):
 
 
 def metadata_lookup(spark, d):
+    """Payloads of every user; a sentinel id and an id without metadata for each of them get none."""
     meta = metadata_latest_wins(spark, d).select(F.col("user_id").alias("id"), F.col("props").alias("payload"))
-    hits = spark.range(-2, 400).select("id", (F.col("id") % 7).alias("rank"))
+    hits = meta.select(F.explode(F.array(F.col("id"), -F.col("id") - 1, F.col("id") + 1_000_000)).alias("id")).select("id", (F.col("id") % 7).alias("rank"))
     return store.attach_metadata(hits, meta)
 
 
@@ -235,6 +236,6 @@ QUERIES = {
     "latency_reduction": (latency_reduction, "WITH p AS (SELECT user_id % 10 AS lang, 1 - avg(value) FILTER (event_id % 2 <> 0) / avg(value) FILTER (event_id % 2 = 0) AS r FROM events GROUP BY 1) SELECT lang, round(r, 6) AS reduction FROM p WHERE r IS NOT NULL UNION ALL SELECT -1, round(avg(r), 6) FROM p"),
     "throughput": (throughput, "SELECT event_type, round(count(*) * 1e6 / (epoch_us(max(ts)) - epoch_us(min(ts))), 6) AS qps FROM events GROUP BY event_type"),
     "metadata_latest_wins": (metadata_latest_wins, "SELECT user_id, event_id, event_type, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
-    "metadata_lookup": (metadata_lookup, "WITH m AS (SELECT user_id, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT id, CAST(id % 7 AS BIGINT) AS rank, props AS payload FROM range(-2, 400) r(id) LEFT JOIN m ON user_id = id"),
+    "metadata_lookup": (metadata_lookup, "WITH m AS (SELECT user_id, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT id, CAST(id % 7 AS BIGINT) AS rank, m.props AS payload FROM (SELECT unnest([user_id, -user_id - 1, user_id + 1000000]) AS id FROM m) h LEFT JOIN m ON m.user_id = id"),
     "html_to_text": (html_to_text, None),
 }

@@ -10,6 +10,7 @@ from sparkseek.plans import _sql as S
 from sparkseek.sources import store
 
 K, SHARDS, EVERY, PQ_M, PQ_CODES, DIM = 10, 4, 50, 8, 16, 64
+LEAST = 0.3
 
 
 def vectors(spark, d):
@@ -34,9 +35,10 @@ def exact_knn_topk(spark, d):
 
 
 def knn_padded(spark, d):
-    q = queries(spark, d).filter("qid = 0")
-    few = vectors(spark, d).filter("id < 7")
-    return knn.pad(knn.exact_topk(few, q, K), q, K).select("qid", "rank", "id", F.when(F.col("id") < 0, None).otherwise(F.round("score", 6)).alias("score"))
+    """Hits from a score on only, padded to K ranks a query."""
+    q = queries(spark, d)
+    near = knn.exact_topk(vectors(spark, d), q, K).filter(F.col("score") >= LEAST)
+    return knn.pad(near, q, K).select("qid", "rank", "id", F.when(F.col("id") < 0, None).otherwise(F.round("score", 6)).alias("score"))
 
 
 def shard_sizes(spark, d):
@@ -74,9 +76,11 @@ def delta_search(spark, d):
 
 
 def delta_upsert_replace(spark, d):
-    old = vectors(spark, d).filter("id % 3 = 0").select("id", "v")
-    new = vectors(spark, d).filter("id % 2 = 0").select("id", F.reverse("v").alias("v"), F.lit(1).alias("seq"))
-    return knn.upsert_delta(old, new).select("id", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("first"))
+    """All rows are in the delta; vectors come again turned round, under the same id for even labels, else under a new one."""
+    rows = vectors(spark, d)
+    id = F.when(F.col("label") % 2 == 0, F.col("id")).otherwise(F.col("id") + 1_000_000)
+    new = rows.select(id.alias("id"), F.reverse("v").alias("v"), F.lit(1).alias("seq"))
+    return knn.upsert_delta(rows.select("id", "v"), new).select("id", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("first"))
 
 
 def upsert_id_check(spark, d):
@@ -198,13 +202,13 @@ _SWEEP = f"""{_CENT}, tr AS (SELECT qid, id FROM {S.top("s", K)}), sw(nprobe) AS
 QUERIES = {
     "vector_normalize": (vector_normalize, f"WITH {S.VECTORS} SELECT id, round(v[1], 6) AS first, round(sqrt(list_inner_product(v, v)), 6) AS norm FROM v"),
     "exact_knn_topk": (exact_knn_topk, f"WITH {S.VECTORS} {_TOP}{S.top('s', K)}"),
-    "knn_padded": (knn_padded, f"WITH {S.VECTORS}, t AS (SELECT * FROM {S.top('(SELECT * FROM s WHERE id < 7 AND qid = 0)', K)}) SELECT CAST(0 AS BIGINT) AS qid, r AS rank, coalesce(id, -1) AS id, round(score, 6) AS score FROM range(1, {K + 1}) g(r) LEFT JOIN t ON t.rank = r"),
+    "knn_padded": (knn_padded, f"WITH {S.VECTORS}, t AS (SELECT * FROM {S.top('s', K)} WHERE score >= {LEAST}) SELECT qv.qid, r AS rank, coalesce(t.id, -1) AS id, round(t.score, 6) AS score FROM qv CROSS JOIN range(1, {K + 1}) g(r) LEFT JOIN t ON t.qid = qv.qid AND t.rank = r"),
     "shard_sizes": (shard_sizes, f"SELECT vec_id % {SHARDS} AS shard_id, count(*) AS n FROM embeddings GROUP BY ALL"),
     "sharded_topk_merge": (sharded_topk_merge, f"WITH {_SH} {_TOP}{S.top('(SELECT qid, id, score FROM sh)', K)}"),
     "two_node_merge": (two_node_merge, f"WITH {S.VECTORS} {_TOP}{S.top('s', K)}"),
     "gateway_degraded_merge": (gateway_degraded_merge, f"WITH {_SH}, nd AS (SELECT qid, id, shard_id AS node, rank AS nr, round_even(score, 5) AS score FROM sh WHERE shard_id <> 2) SELECT qid, rank, id, score, CAST(3 AS BIGINT) AS nodes_ok, CAST(4 AS BIGINT) AS nodes_total, true AS degraded FROM {S.top('nd', K, 'qid', 'score DESC, node, nr')}"),
     "delta_search": (delta_search, f"WITH {S.VECTORS}, dl AS ({_DELTA}), al AS (SELECT id, v FROM v UNION ALL SELECT id, list_transform(r, lambda x: x / sqrt(list_inner_product(r, r))) FROM dl), s2 AS (SELECT qid, id, round(list_inner_product(q, v), 9) AS score FROM qv, al) {_TOP}{S.top('s2', K)}"),
-    "delta_upsert_replace": (delta_upsert_replace, "SELECT vec_id AS id, round(CAST(CASE WHEN vec_id % 2 = 0 THEN embedding[len(embedding)] ELSE embedding[1] END AS DOUBLE), 6) AS first FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0"),
+    "delta_upsert_replace": (delta_upsert_replace, "SELECT vec_id AS id, round(CAST(CASE WHEN label % 2 = 0 THEN embedding[len(embedding)] ELSE embedding[1] END AS DOUBLE), 6) AS first FROM embeddings UNION ALL SELECT vec_id + 1000000, round(CAST(embedding[len(embedding)] AS DOUBLE), 6) FROM embeddings WHERE label % 2 <> 0"),
     "upsert_id_check": (upsert_id_check, "SELECT vec_id * 2 AS id, vec_id * 2 >= 400 AS ok FROM embeddings"),
     "coarse_assign": (coarse_assign, f"WITH {_CENT} SELECT id, cell_id FROM ca"),
     "ivf_probe_topk": (ivf_probe_topk, f"WITH {_CENT} {_TOP}{S.top('(SELECT * FROM px WHERE cell_rank <= 3)', K)}"),

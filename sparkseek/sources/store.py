@@ -109,8 +109,6 @@ def cached_truth(spark: SparkSession, path: str, make, dataset: str, queries: st
     return spark.read.parquet(at)
 
 
-
-
 def write_jsonl(rows: DataFrame, path: str) -> int:
     """JSON lines in UTF-8; the number of rows written (K7)."""
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
