@@ -2,9 +2,10 @@
 
 The forest's trees split random features at random values of a bounded sample (``TREES`` samples of ``PSI`` rows, the
 smallest hashes); a row that random splits isolate after few steps is anomalous. Lines and words that repeat are left to the
-fixed limits: in the forest they would only isolate clean texts with a refrain. The cut-off on the anomaly score is
+fixed limits: in the forest they would only isolate clean texts with a refrain. Rates that vary among clean texts, such as
+that of capitals, are left out: splits on them isolate clean texts and hide the others. The cut-off on the anomaly score is
 calibrated on the labelled rows, all of them, through a histogram of scores by label: the one that removes the most bad
-rows while at least ``KEEP_GOOD`` of the good ones stay.
+rows while at least ``KEEP_GOOD`` of the good ones stay, the highest of equal ones.
 
 Defined cases: null text has no words and fails the base rules; without labelled rows of both kinds nothing beyond the
 base rules is removed; a doc id labelled both ways counts both ways; repeated rows repeat their result.
@@ -27,8 +28,8 @@ TREES, PSI, SEED = 200, 64, 9
 KEEP_GOOD = 0.998
 BINS = 1000
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Square roots of the shares of symbols, of ``!``, ``?`` and ``|``, and of capitals among the words' characters.
-FEATURES = ["symbol_rate", "mark_rate", "upper_rate"]
+#: Square roots of the shares of symbols and of ``!``, ``?`` and ``|`` among the words' characters.
+FEATURES = ["symbol_rate", "mark_rate"]
 _MARKS = b"!?|"
 
 
@@ -65,12 +66,11 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
         if line.split(None, 1):
             dup += line in seen
             seen.add(line)
-    upper, marks = len(raw) - len(raw.translate(None, _UPPER)), len(raw) - len(raw.translate(None, _MARKS))
-    return [n, chars, symbols, dup, repeat_words(words)], [math.sqrt(x / max(chars, 1)) for x in (symbols, marks, upper)]
+    marks = len(raw) - len(raw.translate(None, _MARKS))
+    return [n, chars, symbols, dup, repeat_words(words)], [math.sqrt(x / max(chars, 1)) for x in (symbols, marks)]
 
 
 _CONT = bytes(range(0x80, 0xC0))
-_UPPER = bytes(range(65, 91))
 
 
 def rule_statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -174,7 +174,7 @@ def calibrate(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
     best = (0, 2.0)
     for t in sorted({int(r[0]) for r in rows}):
         lost, gone = sum(r[1] for r in rows if r[0] >= t), sum(r[2] for r in rows if r[0] >= t)
-        if lost <= (1 - keep_good) * good and gone > lost and gone > best[0]:
+        if lost <= (1 - keep_good) * good and gone > lost and gone >= best[0]:
             best = (gone, t / BINS)
     return best[1]
 
