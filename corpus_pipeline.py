@@ -1,7 +1,8 @@
 """Corpus pipeline: the stages a raw document table goes through before training.
 
 1. language ID: documents without a letter or without a likely language go; ``lang`` becomes the predicted one;
-2. SimHash near-dedup: of each group of near-duplicates the document with the smallest id stays;
+2. SimHash near-dedup: of each group of near-duplicates (five-word Jaccard similarity of 0.8 or more, linked through
+   others too) the document with the smallest id stays;
 3. secret scans: each secret in a text becomes ``<SECRET>``, and ``n_chars`` follows; no document goes;
 4. mixing: each document stays as often as the mix of its source takes it (not at all, once or twice);
 5. packing: documents become pieces in sequences of at most 1024 tokens.
@@ -17,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.llm import language_id, mixing, packing, secrets, simhash
+from sparkseek.llm import language_id, mixing, near_copies, packing, secrets
 from sparkseek.llm._common import cut
 
 #: Posterior below which a document has no likely language.
@@ -55,7 +56,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, key = _numbered(docs)
-    found = simhash.near_duplicates(rows.select("doc_id", "text", F.col(key).alias("_row")), ["_row", "doc_id"])
+    slim = rows.select("doc_id", "text", F.col(key).alias("_row"))
+    found = slim.select("_row", "doc_id").join(near_copies.near_copies(slim, "_row"), "_row")
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("m"))
     return rows.join(first.select(F.col("m._row").alias(key)), key, "left_semi").select(*docs.columns)
 
