@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkseek.functions import config
 from sparkseek.functions import vectors as V
 from sparkseek.operators import evaluate, ivfpq, knn
 from sparkseek.plans import _sql as S
@@ -11,6 +12,7 @@ from sparkseek.sources import store
 
 K, SHARDS, EVERY, PQ_M, PQ_CODES, DIM = 10, 4, 50, 8, 16, 64
 LEAST = 0.3
+NPROBE, RERANK = 24, 16
 
 
 def vectors(spark, d):
@@ -171,6 +173,23 @@ def ivfpq_sweep(spark, d):
     return ivfpq.sweep(index, cells, queries(spark, d), _books(spark, d), truth, PQ_M, DIM, K, [1, 3], [0, 4])
 
 
+def _trained(spark, d):
+    """Cells and codebooks by k-means with the engine's settings, and the codes of all vectors."""
+    rows, cfg = vectors(spark, d), config.IndexConfig(dim=DIM)
+    n = rows.count()
+    cells = ivfpq.train_coarse(rows, V.resolve_nlist(n, min(n, 100_000), cfg.nlist))
+    m = V.resolve_pq_m(cfg.dim, cfg.pq_m)
+    books = ivfpq.train_codebooks(rows, m, cfg.pq_bits)
+    return cells, books, ivfpq.pq_encode(ivfpq.assign_cells(rows, cells), books, m, DIM), m
+
+
+def ivfpq_trained_topk(spark, d, nprobe=NPROBE, rerank=RERANK):
+    """Search of the trained index; k-means has no SQL, so the tests hold it against brute force."""
+    cells, books, index, m = _trained(spark, d)
+    q = queries(spark, d)
+    return _hits(ivfpq.search(index, ivfpq.probe_cells(q, cells, nprobe, "qid", "q"), q, books, m, DIM, K, rerank))
+
+
 def index_stats(spark, d):
     return store.index_stats(vectors(spark, d), _delta(spark, d), SHARDS)
 
@@ -219,5 +238,6 @@ QUERIES = {
     "nprobe_sweep": (nprobe_sweep, f"WITH {_SWEEP} SELECT * FROM sp"),
     "operating_point": (operating_point, f"WITH {_SWEEP} SELECT nprobe, recall FROM sp WHERE scanned <= 0.5 * (SELECT count(*) FROM s) ORDER BY recall DESC, nprobe LIMIT 1"),
     "ivfpq_sweep": (ivfpq_sweep, f"WITH {_GRID} SELECT CAST(g.rerank AS BIGINT) AS rerank, CAST(g.nprobe AS BIGINT) AS nprobe, count(*) AS scanned, round(coalesce(any_value(rc.hits), 0) / (SELECT count(DISTINCT qid) * {K} FROM tr)::DOUBLE, 6) AS recall FROM sc g LEFT JOIN rc ON rc.rerank = g.rerank AND rc.nprobe = g.nprobe GROUP BY g.rerank, g.nprobe"),
+    "ivfpq_trained_topk": (ivfpq_trained_topk, None),
     "index_stats": (index_stats, f"SELECT vec_id % {SHARDS} AS shard_id, count(*) AS n, 'shard' AS kind FROM embeddings GROUP BY ALL UNION ALL SELECT -1, count(*), 'delta' FROM embeddings WHERE label = 0"),
 }
