@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, then character Markov models of random strings against ordinary identifiers.
 
 Both models are first-order chains over character classes of their own: a candidate is a run of ``[A-Za-z0-9+/_=-]``
-of 20 or more characters outside every pattern's span; its score is the log-likelihood ratio per character, random over
+of 20 or more characters, without what a pattern's span covers; its score is the log-likelihood ratio per character, random over
 ordinary. The models are trained on labelled samples: values that the patterns found and seeded random strings (base 62,
 hex and base 64) on one side, words and identifiers of the documents on the other. The threshold lies above the score of
 every labelled ordinary sample and at least at ``LEAST``; so prose and identifiers stay.
@@ -123,8 +123,13 @@ def scan(text: str, table: np.ndarray, threshold: float) -> list[tuple[int, int,
     base = base_spans(text)
     more = []
     for m in CANDIDATE.finditer(text):
-        if ratio(table, m[0]) > threshold and not any(a < m.end() and m.start() < b for a, _, b in base):
-            more.append((m.start(), 3, m.end()))
+        at, whole = m.start(), ratio(table, m[0]) > threshold
+        # the base spans are cut out; a part is a span if it scores as random, a short one only within such a run
+        for a, b in [*sorted((a, b) for a, _, b in base if a < m.end() and m.start() < b), (m.end(), m.end())]:
+            part = text[at:a]
+            if part and (whole or len(part) >= 20) and ratio(table, part) > threshold:
+                more.append((at, 3, a))
+            at = max(at, b)
     return sorted(base + more)
 
 
