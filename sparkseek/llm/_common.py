@@ -7,6 +7,7 @@ and values that depend on partition order (partition ids, ranks) are fixed once.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -34,10 +35,12 @@ def word_count(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one of this machine only where none is set (tests)."""
+    """The shared folder that the session names; there is no other, since executors see no folder of the driver's machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sparkseek.scratch", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="sparkseek-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="sparkseek-")  # one process on one machine, as in tests
         spark.conf.set("spark.sparkseek.scratch", at)
     return at.rstrip("/")
 
@@ -73,17 +76,22 @@ def partitions(spark: SparkSession, rows: int, each: int = 250_000) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
 
 
+def hash_limit(n: int, distinct: int) -> int:
+    """A signed 64-bit value that about ``1.1 n + 1000`` of so many distinct hashes do not exceed."""
+    share = (1.1 * n + 1000) / max(distinct, 1)
+    return 2**63 - 1 if share >= 1 else int(-(2**63) + 2**64 * share)
+
+
 def hash_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
-    """The at most ``n`` rows with the smallest values of ``key``, a 64-bit hash; ``_hash`` holds it.
+    """One row of each of the at most ``n`` smallest values of ``key``, a 64-bit hash that is never null; ``_hash`` holds it.
 
-    A filter on the hash first leaves about ``n`` rows in all, so the final top-n moves few rows from any task, however
-    many tasks there are. A table of up to ``n`` rows is returned whole.
+    Rows that repeat share a hash and count once, so no number of repeats fills or empties the sample. A filter on the
+    hash, set by an estimate of the distinct ones, leaves about ``n`` of them, so the final top-n moves few rows from any
+    task, however many tasks there are.
     """
-    total = df.count()
     rows = df.withColumn("_hash", key)
-    if total > 2 * n:
-        rows = rows.filter(F.col("_hash") < F.lit(int(-(2**63) + 2**64 * min(1.0, (1.1 * n + 1000) / total))))
-    return rows.orderBy("_hash").limit(n)
+    distinct = rows.agg(F.approx_count_distinct("_hash", 0.02)).first()[0]
+    return rows.filter(F.col("_hash") <= hash_limit(n, distinct)).dropDuplicates(["_hash"]).orderBy("_hash").limit(n)
 
 
 def prefix_sum(df: DataFrame, order: list[Column], value: str, out: str, rows: int) -> DataFrame:
@@ -114,33 +122,46 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps until the edge set is a fixed point (a star around each
     component's smallest node). Every round shuffles (node, neighbour) longs only and is cut. In a star step a
     node's neighbours are never gathered: the smallest comes from a pre-aggregated minimum, joined back on the
-    node, so a hub with a third of all edges is split by the join. Nodes without an edge are not returned.
+    node; the minima of hubs are broadcast, so a hub with a third of all edges stays where its edges are. Nodes
+    without an edge are not returned.
     """
     both = edges.filter("a is not null and b is not null and a <> b")
     star = cut(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    last = None
+    last, count = None, star.count()
     for _ in range(max_rounds):
-        large = _star(star.select("u", "v").union(star.select(F.col("v"), F.col("u"))), "large")
-        small = _star(large, "small")
+        hubs = 2 * count > HUB  # with fewer edges no node can be one
+        large = _star(star.select("u", "v").union(star.select(F.col("v"), F.col("u"))), "large", hubs)
+        small = _star(large, "small", hubs)
         new = cut(small)
         state = new.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         drop(star)
         star = new
         if tuple(state) == last:
             break
-        last = tuple(state)
+        last, count = tuple(state), state[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     members = star.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.union(star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _star(pairs: DataFrame, kind: str) -> DataFrame:
-    """One star step on (u, v): large links larger neighbours, small links smaller ones, to the least of u and its neighbours."""
+#: Neighbours from which on a node is a hub; there are at most (edges / HUB) hubs, and this many are broadcast at most.
+HUB, HUBS = 50_000, 100_000
+
+
+def _star(pairs: DataFrame, kind: str, hubs: bool) -> DataFrame:
+    """One star step on (u, v): large links larger neighbours, small links smaller ones, to the least of u and its neighbours.
+    ``hubs``: whether a node may have over ``HUB`` neighbours."""
     if kind == "small":  # each edge seen from its larger end only
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = pairs.join(least, "u")
+    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    joined = None
+    if hubs:
+        least = cut(least)
+        hot, rest = least.filter(F.col("n") > HUB).select("u", "m"), least.filter(F.col("n") <= HUB).select("u", "m")
+        if 0 < hot.count() <= HUBS:
+            joined = pairs.join(F.broadcast(hot), "u").union(pairs.join(F.broadcast(hot), "u", "left_anti").join(rest, "u"))
+    joined = pairs.join(least.select("u", "m"), "u") if joined is None else joined
     if kind == "large":
         moved = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

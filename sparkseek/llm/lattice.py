@@ -9,7 +9,8 @@ probability is the product of its words'. A character that no piece covers is sp
 from __future__ import annotations
 
 import functools
-from math import exp, inf, log, log1p
+from collections.abc import Iterator
+from math import inf, log
 
 import numpy as np
 
@@ -56,20 +57,39 @@ def log_probabilities(counts: np.ndarray, path: str, alpha: float, end: float =
     return np.where(usable, np.log((counts + alpha) / total), -np.inf), log((end + alpha) / total)
 
 
+#: Cells (words times positions times models) that a block of words takes at a time, unless one word has more.
+CELLS = 300_000
+
+
 class Lattice:
-    """Log marginal probabilities of words under one or more piece distributions."""
+    """Log marginal probabilities of words, and expected counts of pieces, under one or more piece distributions.
+
+    Words of one length are worked on together as matrices of characters. Pieces are found by walking a trie, held as sorted
+    arrays, from all positions of all words at once. Row 0 of the table stands for no piece.
+    """
 
     def __init__(self, path: str, tables: np.ndarray) -> None:
         """``tables``: (models, pieces) log probabilities."""
         _, pieces = load(path)
-        self.models = len(tables)
-        self.table = np.ascontiguousarray(tables.T)
+        self.models, self.size = tables.shape
+        self.table = np.vstack([np.full((1, self.models), -inf), tables.T])
         is_byte = [p is not None and p.startswith("<0x") and p.endswith(">") for p in pieces]
-        self.row = {p: i for i, p in enumerate(pieces) if p is not None and not is_byte[i]}
-        self.byte = {int(p[3:5], 16): i for i, p in enumerate(pieces) if is_byte[i]}
-        self.longest = max(map(len, self.row))
-        self.starts = {p[:3] for p in self.row if len(p) >= 3}
+        self.row = {p: i + 1 for i, p in enumerate(pieces) if p is not None and not is_byte[i]}
+        self.byte = {int(p[3:5], 16): i + 1 for i, p in enumerate(pieces) if is_byte[i]}
         self.spelt: dict[str, int] = {}
+        self.chars = np.unique(np.array([ord(c) for p in self.row for c in p], np.uint32))
+        number = {chr(c): k for k, c in enumerate(self.chars.tolist())}
+        nodes: dict[int, int] = {}
+        ends = {}
+        for piece, row in self.row.items():
+            at = 0
+            for c in piece:
+                at = nodes.setdefault(at * len(number) + number[c], len(nodes) + 1)
+            ends[at] = row
+        self.keys = np.array(sorted(nodes), np.int64)
+        self.next = np.array([nodes[k] for k in self.keys.tolist()], np.int64)
+        self.ends = np.zeros(len(nodes) + 1, np.int64)
+        self.ends[list(ends)] = list(ends.values())
 
     def _spell(self, char: str) -> int:
         """Row of a character outside the vocabulary: the sum of its bytes' rows, added when it is first met."""
@@ -80,96 +100,91 @@ class Lattice:
             self.table = np.vstack([self.table, own])
         return at
 
-    def _edges(self, word: str) -> tuple[list[int], list[int], list[int]]:
-        """(start, end, row) of every piece in the word's lattice."""
-        s, row, longest, starts = MARK + word, self.row, self.longest, self.starts
-        n, froms, tos, rows = len(s), [], [], []
-        for i in range(n):
-            one = row.get(s[i])
-            froms.append(i)
-            tos.append(i + 1)
-            rows.append(self._spell(s[i]) if one is None else one)
-            if i + 2 <= n:
-                one = row.get(s[i : i + 2])
-                if one is not None:
-                    froms.append(i)
-                    tos.append(i + 2)
-                    rows.append(one)
-                if s[i : i + 3] in starts:
-                    for j in range(i + 3, min(n, i + longest) + 1):
-                        one = row.get(s[i:j])
-                        if one is not None:
-                            froms.append(i)
-                            tos.append(j)
-                            rows.append(one)
-        return froms, tos, rows
-
-    def words(self, words: list[str], block: int = 8000, long: int = 40) -> np.ndarray:
-        """(words, models) log marginal probabilities: the forward recursion over many words, position by position."""
-        out = np.empty((len(words), self.models))
-        short = [k for k, w in enumerate(words) if len(w) <= long]
-        for k in (k for k, w in enumerate(words) if len(w) > long):
-            out[k] = self.word(words[k])
-        for lo in range(0, len(short), block):
-            part = short[lo : lo + block]
-            froms, tos, rows, sizes = [], [], [], []
-            for k in part:
-                f, t, r = self._edges(words[k])
-                froms += f
-                tos += t
-                rows += r
-                sizes.append(len(f))
-            word = np.repeat(np.arange(len(part)), sizes)
-            start, end, row = np.array(froms), np.array(tos), np.array(rows)
-            order = np.argsort(end, kind="stable")  # by end, then word
-            word, start, end, row = word[order], start[order], end[order], row[order]
-            length = np.array([len(words[k]) + 1 for k in part])
-            a = np.zeros((len(part), length.max() + 1, self.models))
-            cuts = np.searchsorted(end, np.arange(1, length.max() + 2))
-            for j in range(1, length.max() + 1):
-                x, y = cuts[j - 1], cuts[j]
-                own = word[x:y]
-                terms = a[own, start[x:y]] + self.table[row[x:y]]
-                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                top = np.maximum.reduceat(terms, first, axis=0)
-                n = np.diff(np.r_[first, len(own)])
-                a[own[first], j] = top + np.log(np.add.reduceat(np.exp(terms - np.repeat(top, n, axis=0)), first, axis=0))
-            out[part] = a[np.arange(len(part)), length]
+    def _pieces(self, words: list[str]) -> list[np.ndarray]:
+        """For each piece size from 1 on, the rows of the pieces that start at each position of words of one length."""
+        codes = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n, m = len(words), len(codes) // len(words)
+        some, back = np.unique(codes, return_inverse=True)
+        single = [self.row.get(c) or self._spell(c) for c in map(chr, some.tolist())]
+        out = [np.array(single, np.int64)[back].reshape(n, m)]
+        known = np.minimum(np.searchsorted(self.chars, some), len(self.chars) - 1)
+        # an unknown character's number leads to no node
+        number = np.where(self.chars[known] == some, known, -len(self.chars) * (len(self.ends) + 1))[back]
+        start, node = np.arange(n * m), np.zeros(n * m, np.int64)
+        for size in range(1, m + 1):
+            if size > 1:
+                inside = start % m + size <= m
+                start, node = start[inside], node[inside]
+            key = node * len(self.chars) + number[start + size - 1]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            ok = self.keys[at] == key
+            start, node = start[ok], self.next[at[ok]]
+            if not len(start):
+                break
+            if size > 1:
+                rows = np.zeros(n * m, np.int64)
+                rows[start] = self.ends[node]
+                out.append(rows.reshape(n, m))
         return out
 
-    def word(self, word: str) -> np.ndarray:
-        """Log marginal probabilities of one word of any length."""
-        froms, tos, rows = self._edges(word)
-        lp = self.table[rows]
-        a = np.full((len(word) + 2, self.models), -inf)
-        a[0] = 0.0
-        for i, j, p in zip(froms, tos, lp, strict=True):  # by start, so every a[i] is final when it is used
-            a[j] = np.logaddexp(a[j], a[i] + p)
-        return a[-1]
-
-    def expected(self, word: str) -> dict[int, float]:
-        """Expected counts of pieces, by id, over all segmentations under the first model (forward-backward)."""
-        froms, tos, rows = self._edges(word)
-        lp = self.table[rows, 0].tolist()
-        n = len(word) + 1
-        a, b = [-inf] * (n + 1), [-inf] * (n + 1)
-        a[0] = b[n] = 0.0
-        for i, j, p in zip(froms, tos, lp, strict=True):
-            a[j] = _add(a[j], a[i] + p)
-        for i, j, p in zip(reversed(froms), reversed(tos), reversed(lp), strict=True):
-            b[i] = _add(b[i], b[j] + p)
-        out: dict[int, float] = {}
-        spelt = {at: [self.byte[x] for x in c.encode("utf-8", "surrogatepass")] for c, at in self.spelt.items()}
-        for i, j, row, p in zip(froms, tos, rows, lp, strict=True):
-            share = exp(min(0.0, a[i] + p + b[j] - a[n]))
-            for piece in spelt.get(row, (row,)):
-                out[piece] = out.get(piece, 0.0) + share
-        return out
+    def _blocks(self, words: list[str]) -> Iterator[np.ndarray]:
+        """Numbers of the words in blocks of one length."""
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(length, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+            if len(part):
+                step = max(1, CELLS // ((int(length[part[0]]) + 2) * self.models))
+                yield from (part[lo : lo + step] for lo in range(0, len(part), step))
 
+    def words(self, words: list[str]) -> np.ndarray:
+        """(words, models) log marginal probabilities: the forward recursion over many words, position by position."""
+        out = np.empty((len(words), self.models))
+        for part in self._blocks(words):
+            out[part] = self._forward(self._pieces([words[k] for k in part]))[-1]
+        return out
 
-def _add(x: float, y: float) -> float:
-    hi, lo = (x, y) if x >= y else (y, x)
-    return hi + log1p(exp(lo - hi)) if lo > -inf else hi
+    def _forward(self, pieces: list[np.ndarray]) -> np.ndarray:
+        """(positions, words, models): log probability of all ways to cut what lies before each position."""
+        n, m = pieces[0].shape
+        a = np.zeros((m + 1, n, self.models))
+        for j in range(1, m + 1):
+            a[j] = _log_sum([a[j - size] + self.table[rows[:, j - size]] for size, rows in enumerate(pieces, 1) if size <= j and (size == 1 or rows[:, j - size].any())])
+        return a
+
+    def expected(self, words: list[str], weights: np.ndarray) -> np.ndarray:
+        """Expected counts of pieces over all segmentations of the weighted words under the only model (forward-backward)."""
+        out = np.zeros(self.size + 1)
+        for part in self._blocks(words):
+            pieces = self._pieces([words[k] for k in part])
+            a = self._forward(pieces)
+            m = len(a) - 1
+            b = np.zeros_like(a)
+            for i in range(m - 1, -1, -1):
+                b[i] = _log_sum([b[i + size] + self.table[rows[:, i]] for size, rows in enumerate(pieces, 1) if i + size <= m and (size == 1 or rows[:, i].any())])
+            counts = np.zeros(len(self.table))
+            for size, rows in enumerate(pieces, 1):
+                rows = rows[:, : m - size + 1].T
+                share = np.exp(np.minimum(0.0, a[: m - size + 1, :, 0] + self.table[rows, 0] + b[size:, :, 0] - a[-1, :, 0])) * weights[part]
+                counts += np.bincount(rows.ravel(), share.ravel(), len(counts))
+            out += counts[: self.size + 1]
+            for char, at in self.spelt.items():
+                if counts[at]:
+                    for x in char.encode("utf-8", "surrogatepass"):
+                        out[self.byte[x]] += counts[at]
+        return out[1:]
+
+
+def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
+    """Log of the sum of exponentials; the first terms are finite."""
+    if len(terms) == 1:
+        return terms[0]
+    top = terms[0]
+    for t in terms[1:]:
+        top = np.maximum(top, t)
+    total = np.exp(terms[0] - top)
+    for t in terms[1:]:
+        total += np.exp(t - top)
+    return top + np.log(total)
 
 
 class WordScores:

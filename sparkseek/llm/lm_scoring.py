@@ -30,8 +30,8 @@ from sparkseek.llm._common import cut, drop, map_arrow
 
 HEAD, HEAD_BYTES = 65_536, 64
 ALPHA = 0.1
-#: Words that occur this often in training take part in expectation-maximisation.
-EM_COUNT, EM_ROUNDS = 50, 4
+#: Rounds of expectation-maximisation over all words.
+EM_ROUNDS = 2
 #: Distinct words a worker counts before it passes them on.
 FLUSH = 300_000
 UNIT = 1e9
@@ -61,56 +61,45 @@ def word_table(docs: DataFrame, trains: Column, text: str = "text") -> DataFrame
     return map_arrow(rows, run, schema).groupBy("word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
 
-_PIECE = T.StructType([T.StructField("head", T.BooleanType()), T.StructField("piece", T.IntegerType()), T.StructField("n", T.DoubleType())])
+_PIECE = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("n", T.DoubleType())])
 
 
-def _pieces(rows: DataFrame, run: Callable, size: int) -> np.ndarray:
-    """Piece counts of head and other words, summed over tasks; two rows a piece at most reach the driver."""
-    out = np.zeros((2, size))
-    for head, piece, n in map_arrow(rows, run, _PIECE).groupBy("head", "piece").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
-        out[int(not head), piece] = n
+def _pieces(words: DataFrame, count: Callable[[list[str], np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Piece counts of weighted words, summed over tasks; a row a piece reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(size)
+        for b in batches:
+            found += count([w.decode("utf-8", "replace") for w in b.column(0).to_pylist()], b.column(1).to_numpy().astype(float))
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(found[at])], _PIECE.names)
+
+    out = np.zeros(size)
+    rows = map_arrow(words, run, _PIECE).groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+    out[rows["piece"].to_numpy(np.int64)] = rows["n"].to_numpy()
     return out
 
 
 def train_pieces(words: DataFrame, ends: int, path: str, alpha: float = ALPHA, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, float]:
     """(log probabilities by piece, that of the end) from the training counts of all words.
 
-    The public tokenizer's own segmentation of every word gives the first counts. For words that occur ``EM_COUNT``
-    times or more, rounds of expectation-maximisation over all segmentations replace theirs.
+    The public tokenizer's own segmentation of every word gives the first counts, then rounds of expectation-maximisation
+    over all segmentations of every word replace them.
     """
     size = len(lattice.load(path)[1])
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, size))
-        for b in batches:
-            c = b.column(1).to_numpy().astype(float)
-            texts = [w.decode("utf-8", "replace") for w in b.column(0).to_pylist()]
-            for k, own in enumerate((c >= EM_COUNT, c < EM_COUNT)):
-                at = np.flatnonzero(own)
-                counts[k] += lattice.piece_counts(path, [texts[i] for i in at], c[at])
-        yield from rows_of(counts)
-
-    def rows_of(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k, one in enumerate(counts):
-            at = np.flatnonzero(one)
-            yield pa.RecordBatch.from_arrays([pa.array([k == 0] * len(at), pa.bool_()), pa.array(at, pa.int32()), pa.array(one[at])], _PIECE.names)
-
     trained = words.filter("c > 0").select("word", "c")
-    counts = _pieces(trained, first, size)
-    frequent = cut(trained.filter(F.col("c") >= EM_COUNT).repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    counts = _pieces(trained, lambda texts, c: lattice.piece_counts(path, texts, c), size)
     for _ in range(rounds):
-        shipped = words.sparkSession.sparkContext.broadcast(lattice.log_probabilities(counts.sum(axis=0), path, alpha, float(ends))[0])
-
-        def again(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            model, found = lattice.Lattice(path, shipped.value[None, :]), np.zeros((1, size))
-            for b in batches:
-                for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    for piece, share in model.expected(w.decode("utf-8", "replace")).items():
-                        found[0, piece] += c * share
-            yield from rows_of(found)
-
-        counts[0] = _pieces(frequent, again, size)[0]
-    return lattice.log_probabilities(counts.sum(axis=0), path, alpha, float(ends))
+        shipped = words.sparkSession.sparkContext.broadcast(lattice.log_probabilities(counts, path, alpha, float(ends))[0])
+        models: list[lattice.Lattice] = []
+
+        def expected(texts: list[str], c: np.ndarray, shipped=shipped, models=models) -> np.ndarray:
+            if not models:
+                models.append(lattice.Lattice(path, shipped.value[None, :]))
+            return models[0].expected(texts, c)
+
+        counts = _pieces(trained, expected, size)
+    return lattice.log_probabilities(counts, path, alpha, float(ends))
 
 
 def word_scores(words: DataFrame, table: np.ndarray, path: str, total: int, distinct: int) -> DataFrame:

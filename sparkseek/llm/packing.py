@@ -2,10 +2,10 @@
 
 Lengths are whole numbers up to the capacity, so the plan needs only how many pieces have each length. Large lengths are
 dealt into groups of equal cardinality and rounded up to their group's longest; configurations of these few sizes are
-optimised (column generation over a linear program, knapsacks by dynamic programming) and rounded down. Actual lengths
-then take the places of the rounded ones, the places that are left are filled best-fit, longest first, and small pieces
-go best-fit into what space remains, longest first. Rounding costs space that small pieces may not fill, so plans with
-several numbers of groups are made, one of them all best-fit, and the one of fewest sequences is used.
+optimised (column generation to the optimum of a linear program, knapsacks by dynamic programming) and rounded down.
+Actual lengths then take the places of the rounded ones, chosen to fill each sequence; large pieces beyond the rounded-down
+configurations and small pieces go best-fit into what space remains, longest first. More groups round less and cost more
+time, and neither is always better, so a plan is made for each of ``GROUPS`` and the one of fewest sequences is used.
 
 The plan is a list of runs: so many pieces of one length, from such a rank on, go to so many consecutive sequences at one
 offset. Its size depends on the capacity and the number of groups, not on the documents. Pieces find their run by length
@@ -18,7 +18,7 @@ piece may be shorter; repeated rows are documents of their own; an empty table g
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +32,8 @@ from sparkseek.llm._common import cut, drop, map_arrow
 
 CAPACITY = 1024
 END_ID = 2
-#: Numbers of groups that are tried; without groups, all pieces go best-fit. The plan of fewest sequences counts.
-GROUPS = (96, 48, 24, 0)
+#: Numbers of groups that are tried; fewer distinct lengths make as many groups. The plan of fewest sequences counts.
+GROUPS = (160, 96)
 #: Lengths of at least this share of the capacity are large.
 LARGE = 1 / 8
 
@@ -149,88 +149,132 @@ class Plan:
 
     def _configurations(self, large: list[int], groups: int) -> None:
         total = sum(self.left[n] for n in large)
-        if not groups or total < 4 * groups:
+        if not total:
             return
         # Linear grouping: each group's ceiling is its longest length; a length belongs to one group.
         tops, need, seen = [], [], 0
         for n in large:
-            seen += self.left[n]
-            if not tops or done:
+            if not tops or seen >= total * len(tops) / groups:
                 tops.append(n)
                 need.append(0)
+            seen += self.left[n]
             tops[-1] = n
             need[-1] += self.left[n]
-            done = seen >= total * len(tops) / groups
         patterns, times = configurations(np.array(tops), np.array(need, float), self.capacity)
-        bounds = dict(zip(tops, [0, *tops[:-1]], strict=True))
-        stock = {top: [n for n in large if bounds[top] < n <= top] for top in tops}
-        for pattern, many in sorted(zip(patterns, times, strict=True), key=lambda x: -x[1]):
-            many = int(many)
-            if not many:
-                continue
-            lo = self.sequences
-            spans = [(lo, lo + many, 0)]  # (from, to, filled)
-            self.sequences += many
-            for g in np.flatnonzero(pattern)[::-1]:
-                for _ in range(pattern[g]):
-                    nxt = []
-                    for a, b, filled in spans:
-                        while a < b:
-                            own = [n for n in stock[tops[g]] if self.left[n]]
-                            if not own:
-                                nxt.append((a, b, filled))
-                                break
-                            n = own[-1]
-                            m = min(b - a, self.left[n])
-                            self._place(n, a, a + m, filled)
-                            nxt.append((a, a + m, filled + n))
-                            a += m
-                    spans = nxt
-            for a, b, filled in spans:
-                self._free(self.capacity - filled, a, b)
-
-
-def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 1500) -> tuple[list[np.ndarray], np.ndarray]:
+        for pattern, many in sorted(zip(patterns, times, strict=True), key=lambda x: (x[0].sum(), -x[1])):
+            slots = [g for g in np.flatnonzero(pattern)[::-1] for _ in range(pattern[g])]
+            self._substitute([tops[g] for g in slots], [tops[g - 1] if g else 0 for g in slots], int(many), large)
+
+    def _longest(self, most: int, large: list[int]) -> int:
+        """The longest left large length up to ``most``, or 0."""
+        return next((large[x] for x in range(bisect_right(large, most) - 1, -1, -1) if self.left[large[x]]), 0)
+
+    def _choice(self, top: int, low: int, room: int, large: list[int], last: bool) -> int:
+        """The length that takes a slot of size ``top``. Before the last slot: of its group's lengths, down to ``low``, that
+        whose space is then filled best by one more piece; the longest one when others follow."""
+        first = self._longest(top, large)
+        if not last or first <= low:
+            return first
+        best, out = self.capacity, first
+        for x in range(bisect_right(large, top) - 1, bisect_right(large, low) - 1, -1):
+            n = large[x]
+            if self.left[n]:
+                self.left[n] -= 1
+                rest = room - n - self._longest(room - n, large)
+                self.left[n] += 1
+                if rest < best:
+                    best, out = rest, n
+                if not rest:
+                    break
+        return out
+
+    def _substitute(self, tops: list[int], lows: list[int], many: int, large: list[int]) -> None:
+        """Actual lengths for ``many`` sequences of one configuration, slot by slot; the last slot takes the longest that the
+        space allows. Longer pieces than planned leave shorter ones for later slots, so all later configurations still hold
+        what is left, and fewer sequences may do: those that nothing is left for are not begun."""
+        done, end = self.sequences, self.sequences + many
+        while done < end:
+            filled, lengths = 0, []
+            for k, (top, low) in enumerate(zip(tops, lows, strict=True)):
+                room = self.capacity - filled
+                n = self._longest(room, large) if k == len(tops) - 1 else self._choice(top, low, room, large, k == len(tops) - 2)
+                if n:
+                    filled += n
+                    lengths.append(n)
+                    self.left[n] -= 1
+            for n in lengths:
+                self.left[n] += 1
+            if not lengths:
+                break
+            # as many sequences alike as the lengths last
+            m = min(end - done, *(self.left[n] // lengths.count(n) for n in lengths))
+            filled = 0
+            for n in lengths:
+                self._place(n, done, done + m, filled)
+                filled += n
+            self._free(self.capacity - filled, done, done + m)
+            done += m
+        self.sequences = done
+
+
+def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Patterns of ``sizes`` within ``capacity`` and how often to use each, rounded down: least bins for ``need``.
 
-    Column generation: the basis starts with one size a pattern; the pattern of the best dual value enters and the
-    simplex ratio test says which leaves, until none is worth over one bin.
+    Column generation to the optimum of the linear program. A knapsack under the current dual values gives, for each size, the
+    pattern worth most that holds it; those worth over one bin join the columns, and the simplex method runs on these with an
+    explicit inverse. It ends when the dual bound shows that no pattern saves a hundred thousandth of the bins.
     """
     m = len(sizes)
+    inverse = np.diag(1.0 / (capacity // sizes))
     basis = np.diag(capacity // sizes).astype(float)
-    for _ in range(rounds):
-        dual = np.linalg.solve(basis.T, np.ones(m))
-        pattern, worth = _knapsack(sizes, dual, capacity)
-        if worth <= 1 + 1e-9:
-            break
-        x, step = np.linalg.solve(basis, need), np.linalg.solve(basis, pattern)
-        ratio = np.where(step > 1e-9, np.maximum(x, 0) / np.where(step > 1e-9, step, 1), np.inf)
-        if not np.isfinite(ratio).any():
+    columns = basis.copy()
+    exact = need.astype(float)
+    shifted = exact * (1 + 1e-9 * np.arange(1, m + 1))  # no ties in the ratio test, so no cycles
+    while True:
+        dual = inverse.sum(axis=0)
+        priced, worth = _knapsack(sizes, dual, capacity)
+        bins = float(dual @ exact)
+        if worth.max() <= 1 + 1e-9 or bins - bins / worth.max() <= 1e-5 * bins:
             break
-        basis[:, int(ratio.argmin())] = pattern
-    x = np.maximum(np.linalg.solve(basis, need), 0)
+        columns = np.unique(np.hstack([columns[:, dual @ columns > 0.9], priced[:, worth > 1 + 1e-9]]), axis=1)
+        while True:
+            dual = inverse.sum(axis=0)
+            value = dual @ columns
+            k = int(value.argmax())
+            if value[k] <= 1 + 1e-9:
+                break
+            step = inverse @ columns[:, k]
+            x = np.maximum(inverse @ shifted, 0)
+            out = int(np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf).argmin())
+            basis[:, out] = columns[:, k]
+            row = inverse[out] / step[out]
+            inverse -= np.outer(step, row)
+            inverse[out] = row
+        inverse = np.linalg.inv(basis)
+    x = np.maximum(inverse @ exact, 0)
     return [c.astype(int) for c in basis.T], np.floor(x + 1e-6)
 
 
-def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
-    """The multiset of sizes within the capacity that is worth most."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(int(sizes.min()), capacity + 1):
-        fits = np.searchsorted(sizes, c, "right")
-        worth = best[c - sizes[:fits]] + value[:fits]
-        k = int(worth.argmax())
-        if worth[k] > best[c - 1] + 1e-12:
-            best[c], pick[c] = worth[k], k
-        else:
-            best[c], pick[c] = best[c - 1], -1
-    pattern, c = np.zeros(len(sizes)), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            pattern[pick[c]] += 1
-            c -= sizes[pick[c]]
-    return pattern, float(best[capacity])
+def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each size, the multiset within the capacity that holds it and is worth most: (a column each, worths)."""
+    m, most = len(sizes), int(capacity // sizes.min())
+    room = np.arange(capacity + 1)[None, :] - sizes[:, None]
+    fits, room = room >= 0, np.maximum(room, 0)
+    best, picks = np.zeros(capacity + 1), []
+    for _ in range(most - 1):  # best of at most so many pieces, by space
+        worth = np.where(fits, best[room] + value[:, None], 0.0)
+        pick = worth.argmax(axis=0)
+        new = worth[pick, np.arange(capacity + 1)]
+        picks.append(np.where(new > best + 1e-12, pick, -1))
+        best = np.maximum(best, new)
+    columns, left = np.eye(m), capacity - sizes
+    own = np.arange(m)
+    for pick in reversed(picks):
+        chosen = pick[left]
+        some = chosen >= 0
+        columns[chosen[some], own[some]] += 1
+        left = left - np.where(some, sizes[chosen], 0)
+    return columns, value @ columns
 
 
 def pack(docs: DataFrame, keep: list[str], text: str = "text", tokenizer: str = "byte_bpe_50k", end: int = END_ID, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> DataFrame:
@@ -243,11 +287,10 @@ def pack(docs: DataFrame, keep: list[str], text: str = "text", tokenizer: str =
     # Each task's first rank by length; one length has one row a task, and the longest history is of tasks, not of rows.
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_task.select("_task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_from"))
-    ranked = pieces.join(starts, ["_task", "length"]).withColumn("_rank", F.col("_from") + F.col("_nth"))
+    # Both grow with the documents, so neither is broadcast; no task has more rows of one length than it read.
+    ranked = pieces.hint("merge").join(starts, ["_task", "length"]).withColumn("_rank", F.col("_from") + F.col("_nth"))
     runs = np.array(sorted(plan.runs), np.int64).reshape(-1, 5)
-    if len(runs) > 2_000_000:
-        raise RuntimeError("the plan is larger than its bound")
-    shipped = spark.sparkContext.broadcast(runs)
+    shipped = spark.sparkContext.broadcast(runs)  # a run a length and configuration: some thousands at any scale
     out = ranked.select(*keep, "piece", "start", "length", "ids_crc32", "_rank")
     schema = T.StructType([*out.schema.fields[:-1], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 

@@ -1,14 +1,16 @@
-"""Quality rules: statistics of each text, fixed limits, and an isolation forest over the statistics.
+"""Quality rules: statistics of each text, fixed limits, and isolation forests over the statistics.
 
-The forest's trees split random features at random values of a bounded sample (``TREES`` samples of ``PSI`` rows, the
-smallest hashes); a row that random splits isolate after few steps is anomalous. Lines and words that repeat are left to the
-fixed limits: in the forest they would only isolate clean texts with a refrain. Rates that vary among clean texts, such as
-that of capitals, are left out: splits on them isolate clean texts and hide the others. The cut-off on the anomaly score is
-calibrated on the labelled rows, all of them, through a histogram of scores by label: the one that removes the most bad
-rows while at least ``KEEP_GOOD`` of the good ones stay, the highest of equal ones.
+A forest's trees split random features at random values of a bounded sample (``TREES`` samples of ``PSI`` rows, the
+smallest hashes; equal rows count once); a row that random splits isolate after few steps is anomalous. All rule statistics
+take part, in forms that do not depend on a text's length. What is rare in one respect, such as a clean text with a refrain,
+can hide what is bad in another, so beside the forest over all features there is one for each kind of statistic. The cut-off
+on each forest's score is calibrated on the labelled rows, all of them, through a histogram of scores by label: the one that
+removes the most bad rows while of the good ones no more than the forest's part of ``1 - KEEP_GOOD`` go, the highest of equal
+ones. A row goes if any forest removes it.
 
 Defined cases: null text has no words and fails the base rules; without labelled rows of both kinds nothing beyond the
-base rules is removed; a doc id labelled both ways counts both ways; repeated rows repeat their result.
+base rules is removed; a doc id labelled both ways counts both ways; repeated rows repeat their result; very long texts are
+counted whole.
 """
 
 from __future__ import annotations
@@ -28,9 +30,11 @@ TREES, PSI, SEED = 200, 64, 9
 KEEP_GOOD = 0.998
 BINS = 1000
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Square roots of the shares of symbols and of ``!``, ``?`` and ``|`` among the words' characters.
-FEATURES = ["symbol_rate", "mark_rate"]
-_MARKS = b"!?|"
+#: Square roots of shares: symbols, and ``!``, ``?`` and ``|``, among the words' characters; lines that repeat among lines with
+#: a word; words in repeated windows among words; capitals among characters. Logarithms: mean word length, words a line.
+FEATURES = ["symbol_rate", "mark_rate", "capital_rate", "dup_line_rate", "repeat_rate", "word_length", "line_words"]
+FORESTS = {"signs": FEATURES[:2], "letters": ["capital_rate", "word_length"], "repeats": FEATURES[3:5], "shape": FEATURES[5:], "all": FEATURES}
+_MARKS, _CAPITALS = b"!?|", bytes(range(65, 91))
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -61,13 +65,16 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
     chars = sum(map(len, words)) - cont(raw)
     symbols = len(raw) - len(raw.translate(None, b"#*$%&|<>"))
     seen: set[bytes] = set()
-    dup = 0
+    dup = lines = 0
     for line in raw.split(b"\n"):
         if line.split(None, 1):
+            lines += 1
             dup += line in seen
             seen.add(line)
-    marks = len(raw) - len(raw.translate(None, _MARKS))
-    return [n, chars, symbols, dup, repeat_words(words)], [math.sqrt(x / max(chars, 1)) for x in (symbols, marks)]
+    marks, capitals = (len(raw) - len(raw.translate(None, x)) for x in (_MARKS, _CAPITALS))
+    repeats = repeat_words(words)
+    shares = ((symbols, chars), (marks, chars), (capitals, chars), (dup, lines), (repeats, n))
+    return [n, chars, symbols, dup, repeats], [*(math.sqrt(a / max(b, 1)) for a, b in shares), math.log((chars + 1) / (n + 1)), math.log((n + 1) / (lines + 1))]
 
 
 _CONT = bytes(range(0x80, 0xC0))
@@ -141,47 +148,59 @@ def average_path(n: int) -> float:
     return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n if n > 2 else 1.0
 
 
-def fit(stats: DataFrame, id_col: str = "doc_id", trees: int = TREES, psi: int = PSI) -> IsolationForest:
-    """A forest on the at most ``trees * psi`` rows that pass the base rules and have the smallest hashes."""
+def fit(stats: DataFrame, id_col: str = "doc_id", trees: int = TREES, psi: int = PSI) -> dict[str, IsolationForest]:
+    """The forests on the at most ``trees * psi`` rows that pass the base rules and have the smallest hashes."""
     key = F.xxhash64(F.lit(SEED), F.col(id_col), *[F.col(c) for c in FEATURES])
-    rows = hash_sample(stats.filter(~F.col("base_failed")), key, trees * psi).orderBy("_hash", *FEATURES).select(*FEATURES).toPandas()
-    return IsolationForest(rows.to_numpy(float), trees, psi)
+    rows = hash_sample(stats.filter(~F.col("base_failed")), key, trees * psi).orderBy("_hash").select(*FEATURES).toPandas()
+    return {name: IsolationForest(rows[own].to_numpy(float), trees, psi) for name, own in FORESTS.items()}
 
 
-def anomaly_scores(stats: DataFrame, forest: IsolationForest) -> DataFrame:
-    """``stats`` without its features, plus ``anomaly``. The forest has at most 2 * TREES * PSI nodes."""
-    shipped = stats.sparkSession.sparkContext.broadcast(forest)
+def anomaly_scores(stats: DataFrame, forests: dict[str, IsolationForest]) -> DataFrame:
+    """``stats`` without its features, plus ``anomaly``, a score a forest. A forest has at most 2 * TREES * PSI nodes."""
+    shipped = stats.sparkSession.sparkContext.broadcast(forests)
     keep = [c for c in stats.columns if c not in FEATURES]
     rows = stats.select(*keep, *FEATURES)
-    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("anomaly", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("anomaly", T.ArrayType(T.DoubleType()))])
+    at = {name: [FEATURES.index(c) for c in own] for name, own in FORESTS.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[len(keep) :]]) if b.num_rows else np.zeros((0, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(shipped.value.score(x), pa.float64())], [*keep, "anomaly"])
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[len(keep) :]])
+            scores = np.column_stack([f.score(x[:, at[name]]) for name, f in shipped.value.items()])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * scores.shape[1], pa.int32()), pa.array(scores.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], lists], [*keep, "anomaly"])
 
     return map_arrow(rows, run, schema)
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", keep_good: float = KEEP_GOOD) -> float:
-    """The anomaly score from which rows go. One row a histogram bin reaches the driver."""
-    own = labels.select(F.col(id_col).alias("_id"), F.col(label).alias("_q")).filter("_id is not null and _q is not null").distinct()
-    passed = scored.filter(~F.col("base_failed")).select(F.col(id_col).alias("_id"), F.floor(F.col("anomaly") * BINS).alias("_bin"))
-    rows = passed.join(own, "_id").groupBy("_bin").agg(F.sum((F.col("_q") != 0).cast("long")), F.sum((F.col("_q") == 0).cast("long"))).collect()
-    good, bad = sum(r[1] for r in rows), sum(r[2] for r in rows)
-    if not good or not bad:
-        return 2.0
+def cut_off(bins: list[tuple[int, int, int]], spare: float) -> float:
+    """From ``(bin, good, bad)`` rows: the score from which the most bad ones go, at most the share ``spare`` of the good ones."""
+    good, bad = sum(r[1] for r in bins), sum(r[2] for r in bins)
     best = (0, 2.0)
-    for t in sorted({int(r[0]) for r in rows}):
-        lost, gone = sum(r[1] for r in rows if r[0] >= t), sum(r[2] for r in rows if r[0] >= t)
-        if lost <= (1 - keep_good) * good and gone > lost and gone >= best[0]:
-            best = (gone, t / BINS)
+    if good and bad:
+        for t in sorted({int(r[0]) for r in bins}):
+            lost, gone = sum(r[1] for r in bins if r[0] >= t), sum(r[2] for r in bins if r[0] >= t)
+            if lost <= spare * good and gone > lost and gone >= best[0]:
+                best = (gone, t / BINS)
     return best[1]
 
 
+def calibrate(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", keep_good: float = KEEP_GOOD) -> list[float]:
+    """The anomaly score of each forest from which rows go. One row a forest and histogram bin reaches the driver."""
+    own = labels.select(F.col(id_col).alias("_id"), F.col(label).alias("_q")).filter("_id is not null and _q is not null").distinct()
+    passed = scored.filter(~F.col("base_failed")).select(F.col(id_col).alias("_id"), F.posexplode("anomaly").alias("_forest", "_score"))
+    passed = passed.select("_id", "_forest", F.floor(F.col("_score") * BINS).alias("_bin"))
+    found = passed.join(own, "_id").groupBy("_forest", "_bin").agg(F.sum((F.col("_q") != 0).cast("long")), F.sum((F.col("_q") == 0).cast("long"))).collect()
+    return [cut_off([tuple(r)[1:] for r in found if r[0] == k], (1 - keep_good) / len(FORESTS)) for k in range(len(FORESTS))]
+
+
 def judge(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``keep``, the counts, ``base_failed``, ``anomaly`` and ``kept`` of every row."""
+    """``keep``, the counts, ``base_failed``, ``anomaly`` (a score a forest) and ``kept`` of every row."""
     stats = cut(rule_statistics(docs, [*dict.fromkeys([*keep, id_col])], text))
     scored = cut(anomaly_scores(stats, fit(stats, id_col)))
-    limit = calibrate(scored, labels, id_col)
-    return scored.select(*keep, *STATS, "base_failed", "anomaly", (~F.col("base_failed") & (F.col("anomaly") < limit)).alias("kept"))
+    limits = calibrate(scored, labels, id_col)
+    low = [F.col("anomaly")[k] < F.lit(limit) for k, limit in enumerate(limits)]
+    kept = ~F.col("base_failed")
+    for one in low:
+        kept &= one
+    return scored.select(*keep, *STATS, "base_failed", "anomaly", kept.alias("kept"))

@@ -1,15 +1,16 @@
 """Secret scans: fixed patterns, then character Markov models of random strings against ordinary identifiers.
 
-Both models are first-order chains over character classes of their own: a candidate is a run of ``[A-Za-z0-9+/_=-]``
-of 20 or more characters, without what a pattern's span covers; its score is the log-likelihood ratio per character, random over
-ordinary. The models are trained on labelled samples: values that the patterns found and seeded random strings (base 62,
+Both models are first-order chains over characters: a candidate is a run of ``[A-Za-z0-9+/_=-]`` of 20 or more
+characters, without what a pattern's span covers; its score is the log-likelihood ratio per character, random over
+ordinary. The models are trained on labelled strings: values that the patterns found and seeded random strings (base 62,
 hex and base 64) on one side, words and identifiers of the documents on the other. The threshold lies above the score of
-every labelled ordinary sample and at least at ``LEAST``; so prose and identifiers stay.
+every held-out ordinary string and at least at ``LEAST``; so prose and identifiers stay.
 
-The sample is bounded: ``SAMPLE_DOCS`` documents with the smallest hashes. Every whole text is scanned.
+The sample is bounded: ``SAMPLE_DOCS`` documents with the smallest hashes; equal rows count once. All their strings count,
+whole, each distinct one once; only transition counts and one score reach the driver. Every whole text is scanned.
 
 Defined cases: null text is empty and has no spans; repeated rows repeat their result; spans count code points, the end
-exclusive; the method's spans never overlap the patterns'.
+exclusive; the method's spans never overlap the patterns'; without rows the random strings alone train.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkseek.llm._common import hash_sample, map_arrow
+from sparkseek.llm._common import cut, hash_sample, map_arrow
 
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ASSIGN_WORDS = ("pass", "secret", "token", "api")
@@ -37,6 +38,8 @@ KINDS = ("assign", "access", "hex", "markov")
 SAMPLE_DOCS = 2000
 SEED = 8
 LEAST = 0.5
+#: What the lines of strings for training hold.
+ORDINARY, SECRET, HELD = range(3)
 _ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 _INDEX = {c: i for i, c in enumerate(_ALPHABET)}
 _CODES = np.full(128, 0, np.int64)
@@ -55,22 +58,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def transitions(samples: list[str], alpha: float = 0.2) -> np.ndarray:
-    """Log transition probabilities of a first-order chain; the last row is the first character's distribution."""
+def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(character numbers of all strings in a row, number of the string by character, places of the first characters)."""
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    ids = _CODES[np.frombuffer("".join(strings).encode("ascii"), np.uint8)]
+    return ids, np.repeat(np.arange(len(strings)), sizes), np.cumsum(sizes)[sizes > 0] - sizes[sizes > 0]
+
+
+def transitions(strings: list[str]) -> np.ndarray:
+    """Counts of a first-order chain; the last row counts first characters."""
     n = len(_ALPHABET)
-    counts = np.full((n + 1, n), alpha)
-    for s in samples:
-        ids = _CODES[np.frombuffer(s.encode("ascii"), np.uint8)]
-        if len(ids):
-            counts[n, ids[0]] += 1
-            np.add.at(counts, (ids[:-1], ids[1:]), 1)
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+    ids, owner, first = _codes(strings)
+    inside = owner[1:] == owner[:-1]
+    counts = np.bincount(ids[:-1][inside] * n + ids[1:][inside], minlength=n * (n + 1))
+    return (counts + np.bincount(n * n + ids[first], minlength=n * (n + 1))).reshape(n + 1, n)
+
+
+def log_probabilities(counts: np.ndarray, alpha: float = 0.2) -> np.ndarray:
+    return np.log((counts + alpha) / (counts + alpha).sum(axis=1, keepdims=True))
+
+
+def ratios(table: np.ndarray, strings: list[str]) -> np.ndarray:
+    """Log-likelihood ratio per character of strings that are not empty; ``table`` is random minus ordinary."""
+    ids, owner, first = _codes(strings)
+    worth = np.r_[0.0, table[ids[:-1], ids[1:]]] if len(ids) else np.zeros(0)
+    worth[first] = table[-1, ids[first]]
+    return np.bincount(owner, worth, len(strings)) / np.bincount(owner, minlength=len(strings))
 
 
 def ratio(table: np.ndarray, s: str) -> float:
-    """Log-likelihood ratio per character; ``table`` is random minus ordinary."""
-    ids = _CODES[np.frombuffer(s.encode("ascii"), np.uint8)]
-    return float((table[-1, ids[0]] + table[ids[:-1], ids[1:]].sum()) / len(ids))
+    return float(ratios(table, [s])[0])
 
 
 def random_strings(n: int = 3000, seed: int = SEED) -> list[str]:
@@ -80,42 +97,65 @@ def random_strings(n: int = 3000, seed: int = SEED) -> list[str]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, float]:
-    """(log ratio table, threshold) from a bounded sample: the driver gets counts and at most a few MB of strings."""
-    key = F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text))
-    last = hash_sample(docs.filter(F.col(text).isNotNull()).select(id_col, text), key, sample_docs).agg(F.max("_hash")).first()[0]
-    secrets, ordinary = set(), set()
-    if last is not None:
-        schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("s", T.StringType())])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = {(k, s) for t in b.column(0).to_pylist() for k, s in labelled(t)}
-                kinds, values = zip(*sorted(found), strict=True) if found else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.string())], ["kind", "s"])
-
-        picked = map_arrow(docs.filter(F.col(text).isNotNull() & (key <= last)).select(text), run, schema).distinct()
-        for kind, s in picked.orderBy(F.md5("s")).limit(100_000).collect():
-            (secrets if kind else ordinary).add(s)
-    held = sorted(s for s in ordinary if hashlib.md5(s.encode()).digest()[0] < 64)
-    ordinary_train = sorted(ordinary - set(held)) + ["_".join(p) for p in zip(held, held[1:], strict=False)][:1000]
-    table = transitions(random_strings() + sorted(secrets)) - transitions(ordinary_train)
-    long = [s for s in [*held, *["".join(p) for p in zip(held, held[1:], strict=False)]] if len(s) >= 20]
-    worst = max((ratio(table, s) for s in long), default=0.0)
-    return table, max(LEAST, worst + 0.1)
+    """(log ratio table, threshold) from a bounded sample of documents."""
+    rows = docs.select(F.col(text).alias("t"), F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text)).alias("h")).filter("t is not null")
+    last = hash_sample(rows.select("h"), F.col("h"), sample_docs).agg(F.max("_hash")).first()[0]
+    counts, worst = np.zeros((2, len(_ALPHABET) + 1, len(_ALPHABET))), 0.0
+    table = lambda: log_probabilities(counts[SECRET] + transitions(random_strings())) - log_probabilities(counts[ORDINARY])
+    if last is None:
+        return table(), LEAST
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("s", T.StringType())])
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                found = sorted(set(labelled(t.as_py())))
+                kinds, values = zip(*found, strict=True) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.string())], schema.names)
+
+    picked = rows.filter(F.col("h") <= last).dropDuplicates(["h"]).select("t")
+    picked = cut(map_arrow(picked, strings, schema).distinct())
+    sums = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("cell", T.IntegerType()), T.StructField("n", T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds = b.column(0).to_numpy()
+            for kind in (ORDINARY, SECRET):
+                found = transitions(b.column(1).filter(pa.array(kinds == kind)).to_pylist()).ravel()
+                at = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(found[at])], sums.names)
+
+    for kind, cell, n in map_arrow(picked, count, sums).groupBy("kind", "cell").agg(F.sum("n")).collect():  # a row a transition
+        counts[kind].reshape(-1)[cell] = n
+    trained = table()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(ratios(trained, b.column(0).to_pylist()))], ["r"])
+
+    held = picked.filter((F.col("kind") == HELD) & (F.length("s") >= 20)).select("s")
+    worst = map_arrow(held, score, T.StructType([T.StructField("r", T.DoubleType())])).agg(F.max("r")).first()[0]
+    return trained, max(LEAST, (worst or 0.0) + 0.1)
 
 
 def labelled(text: str) -> Iterator[tuple[int, str]]:
-    """(1, value) of the patterns' spans, (0, word) of runs outside them that hold letters only, or joined by ``_-/``."""
+    """Strings to learn from: values of the patterns' spans, and words outside them, of letters only or joined by ``_-/``.
+
+    A fourth of the words, by their hashes, is held out. Neighbours by name make longer strings: two that train become an
+    identifier, two that are held out one word.
+    """
     spans = base_spans(text)
     for start, _, end in spans:
         for m in CANDIDATE.finditer(text[start:end]):
-            yield 1, m[0][:200]
-    at = 0
+            yield SECRET, m[0]
+    at, words = 0, set()
     for start, _, end in [*spans, (len(text), 0, len(text))]:
-        for m in re.finditer(r"[A-Za-z][A-Za-z]*(?:[_/-][A-Za-z]+)*", text[at:start] if start > at else ""):
-            if len(m[0]) >= 3:
-                yield 0, m[0][:200]
+        words.update(m[0] for m in re.finditer(r"[A-Za-z][A-Za-z]*(?:[_/-][A-Za-z]+)*", text[at:start] if start > at else "") if len(m[0]) >= 3)
         at = max(at, end)
+    held = {w for w in words if hashlib.md5(w.encode()).digest()[0] < 64}
+    for kind, own, joint in ((ORDINARY, sorted(words - held), "_"), (HELD, sorted(held), "")):
+        yield from ((kind, w) for w in own)
+        yield from ((kind, joint.join(p)) for p in zip(own, own[1:], strict=False))
 
 
 def scan(text: str, table: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:

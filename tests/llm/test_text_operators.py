@@ -22,7 +22,7 @@ def docs_of(spark, rows):
     return spark.createDataFrame([(i, t, la, s, None if t is None else len(t), "x", "y") for i, t, la, s in rows], DOCS)
 
 
-EDGE = [(1, None, None, None), (2, "", "en", "a"), (2, "", "en", "a"), (None, "some words here", None, "b"), (3, " \n\t ", "de", None), (4, "é" * 9000 + " " + "ab " * 20000, "fr", "b"), (5, "123 !!", "en", "a")]
+EDGE = [(1, None, None, None), (2, "", "en", "a"), (2, "", "en", "a"), (None, "some words here", None, "b"), (3, " \n\t ", "de", None), (4, "é" * 9000 + " " + "ab " * 20000, "fr", "b"), (5, "123 !!", "en", "a"), *[(6, "equal rows of one text", "en", "a")] * 3]
 
 
 # --- op 1
@@ -258,7 +258,9 @@ def test_bk_forest_finds_every_pair():
     assert found == want
 
 
-def test_components_of_paths_and_hubs(spark):
+@pytest.mark.parametrize("hub", [_common.HUB, 30])
+def test_components_of_paths_and_hubs(spark, monkeypatch, hub):
+    monkeypatch.setattr(_common, "HUB", hub)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 700)] + [(800, 801), (801, 800), (900, 900)]
     got = {r.node: r.component for r in _common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 500 for i in range(500, 700)}, 800: 800, 801: 800}
@@ -280,6 +282,38 @@ def test_language_id_held_out_accuracy_and_edges(spark, sf):
     assert language_id.predict(frame.limit(0), ["doc_id"], model).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_samples_of_equal_rows(spark, seed):
+    """Rows that repeat count once: no language, and no sample, is lost or filled by them."""
+    rows = spark.range(6000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(f"the text {seed}").alias("text"), F.lit("en").alias("lang"))
+    rare = spark.createDataFrame([(None, "der und die", "de")] * 2, "doc_id long, text string, lang string")
+    got = language_id.sample(rows.union(rare), "lang", "doc_id").collect()
+    assert sorted(r.lang for r in got) == ["de", "en"]
+    assert language_id.train(rows.union(rare)).names == ["de", "en"]
+    assert _common.hash_sample(rows, F.xxhash64("text"), 2000).count() == 1
+    many = spark.range(250).withColumn("h", F.xxhash64("id"))
+    least = sorted(r.h for r in many.collect())[:100]
+    assert [r.h for r in _common.hash_sample(many.union(many), F.col("h"), 100).collect()] == least
+    assert _common.hash_sample(many.limit(0), F.col("h"), 100).count() == 0
+    assert secrets.train(rows)[0].shape == (len(secrets._ALPHABET) + 1, len(secrets._ALPHABET))
+
+
+def test_many_languages(spark, monkeypatch):
+    """More languages than one pass takes: the same predictions as in one pass."""
+    rng = random.Random(9)
+    own = {f"l{k:02d}": ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(30)] for k in range(70)}
+    rows = [(i, " ".join(rng.choices(own[la], k=40)), la, "s") for i, la in enumerate(sorted(own) * 3)]
+    frame = docs_of(spark, rows + [(999, None, None, "s"), (998, "123", "en", "s")])
+    model = language_id.train(frame)
+    assert sorted(own) == model.names
+    got = {}
+    for size in (64, 13, 100):
+        monkeypatch.setattr(language_id, "LANGUAGES", size)
+        got[size] = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language_id.predict(frame, ["doc_id"], model).collect()}
+    assert got[64] == got[13] == got[100]
+    assert all(got[64][i][0] == la for i, _, la, _ in rows) and got[64][999] == got[64][998] == ("und", 0.0)
+
+
 # --- op 8
 
 
@@ -351,6 +385,39 @@ def test_quality_judgement(spark, sf):
     assert quality.judge(frame.limit(0), labels, ["doc_id"]).count() == 0
 
 
+def test_kept_against_brute_force(spark, sf):
+    """Paths through every tree, scores, cut-offs and verdicts recomputed row by row in plain Python."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in quality.judge(docs, labels, ["doc_id"]).collect()}
+    stats = quality.rule_statistics(docs, ["doc_id"])
+    forests = quality.fit(stats)
+    rows = {r.doc_id: r for r in stats.collect() if not r.base_failed}
+
+    def score(forest, x):
+        total = 0.0
+        for feature, value, left, right, length in forest.trees:
+            k = 0
+            while feature[k] >= 0:
+                k = left[k] if x[feature[k]] < value[k] else right[k]
+            total += length[k]
+        return 2 ** (-total / len(forest.trees) / quality.average_path(forest.psi))
+
+    good, bad = ({r.doc_id for r in labels.filter(f"quality = {q}").collect()} for q in (1, 0))
+    gone = set()
+    for k, (name, own) in enumerate(quality.FORESTS.items()):
+        scores = {i: score(forests[name], [r[c] for c in own]) for i, r in rows.items()}
+        assert all(got[i].anomaly[k] == pytest.approx(x) for i, x in scores.items())
+        bins = {i: math.floor(got[i].anomaly[k] * quality.BINS) for i in rows}
+        best = (0, None)
+        for t in sorted({b for i, b in bins.items() if i in good | bad}):
+            lost, caught = (sum(bins[i] >= t for i in kind & bins.keys()) for kind in (good, bad))
+            if lost <= (1 - quality.KEEP_GOOD) / len(quality.FORESTS) * len(good & bins.keys()) and caught > lost and caught >= best[0]:
+                best = (caught, t)
+        gone |= {i for i in rows if best[1] is not None and got[i].anomaly[k] >= best[1] / quality.BINS}
+    assert {i for i, r in got.items() if r.kept} == rows.keys() - gone
+    assert gone & bad and not gone & good
+
+
 def test_isolation_forest_isolates():
     rng = np.random.default_rng(7)
     rows = np.r_[rng.normal(0, 1, (1000, 3)), [[9, 9, 9]]]
