@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkseek.operators.ranks import range_rank
+
 KS = (1, 3, 5, 10)
 
 
@@ -42,12 +44,25 @@ def percentiles(rows: DataFrame, value: str, by: list[str], at: tuple[float, ...
 def nearest_rank(rows: DataFrame, value: str, by: list[str], q: float = 0.95) -> DataFrame:
     """Median and the value at index ``min(n - 1, int(q * n))`` of the sorted values.
 
-    Ranks come from a window, not from a collected array, so a group's values stream through its task.
+    Ranks come from ranges of values, so a group with most of the rows spreads over many tasks.
     """
-    order, group = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
-    ranked = rows.filter(F.col(value).isNotNull()).select(*by, value, F.row_number().over(order).alias("r"), F.count("*").over(group).alias("n"))
+    ranked = range_rank(rows.filter(F.col(value).isNotNull()).select(*by, value), by, [value], "r")
+    last = ranked.groupBy(*by).agg(F.max("r").alias("n"))
     at = F.least(F.col("n") - 1, F.floor(F.col("n") * q)) + 1
-    return ranked.groupBy(*by).agg(F.round(F.percentile(value, F.lit(0.5)), 6).alias("median"), F.round(F.max(F.when(F.col("r") == at, F.col(value))), 6).alias("p95"))
+    middle = F.col("r").isin(F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2))
+    both = ranked.join(last, by)
+    return both.groupBy(*by).agg(F.round(F.avg(F.when(middle, F.col(value))), 6).alias("median"), F.round(F.max(F.when(F.col("r") == at, F.col(value))), 6).alias("p95"))
+
+
+def load_test(requests: DataFrame, threads: str = "threads", started: str = "started", ms: str = "ms") -> DataFrame:
+    """Requests, queries a second over the span from the first start to the last end, and latencies of each number of threads.
+
+    ``started`` is in milliseconds; rows without a latency failed and count as errors only.
+    """
+    ok = F.col(ms).isNotNull()
+    span = F.max(F.when(ok, F.col(started) + F.col(ms))) - F.min(F.when(ok, F.col(started)))
+    p = lambda q: F.round(F.percentile(ms, F.lit(q)), 6).alias(f"p{round(q * 100)}")
+    return requests.groupBy(threads).agg(F.count(F.when(ok, 1)).alias("n"), F.count(F.when(~ok, 1)).alias("errors"), F.round(F.count(F.when(ok, 1)) * 1000.0 / span, 6).alias("qps"), p(0.5), p(0.95), p(0.99))
 
 
 def last_n(rows: DataFrame, n: int, order: list[Column]) -> DataFrame:

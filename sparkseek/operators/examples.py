@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkseek.operators.ranks import range_rank
+
 IGNORE = -100
 
 
@@ -33,9 +35,9 @@ def supervised(examples: DataFrame) -> DataFrame:
 
 
 def length_buckets(examples: DataFrame, batch: int, by: list[str], key: str) -> DataFrame:
-    """``bucket``: batches of rows of like length within each group, longest rows last."""
-    order = Window.partitionBy(*by).orderBy(F.size("input_ids"), key)
-    return examples.withColumn("bucket", F.floor((F.row_number().over(order) - 1) / batch).cast("long"))
+    """``bucket``: batches of rows of like length within each group, longest rows last (W15). ``key`` is unique."""
+    ranked = range_rank(examples.select(*by, key, F.size("input_ids").alias("_size")), by, ["_size", key], "_rank")
+    return examples.join(ranked.select(key, F.floor((F.col("_rank") - 1) / batch).cast("long").alias("bucket")), key)
 
 
 def pad_batches(bucketed: DataFrame, by: list[str], pad_id: int) -> DataFrame:

@@ -11,6 +11,8 @@ from sparkseek.functions import text as T
 from sparkseek.operators.bm25 import _small, search
 
 RRF_K = 60
+#: Rows up to which a side is broadcast.
+SMALL_ROWS = 100_000
 NO_ANSWER = "I could not find an answer in the provided documents."
 
 
@@ -47,7 +49,9 @@ def retrieve(
     left = dense(docs, questions, candidates) if dense and mode in ("hybrid", "dense") else none
     right = search(docs, questions, candidates, id, text) if mode in ("hybrid", "sparse") else none
     cut = candidate_cut(fuse(left, right), final_k, rerank_top_n if rerank else None)
-    return order_hits(docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(_small(cut), "id"), questions, final_k, rerank)
+    # the cut's size is known from the questions: counting it would run the whole retrieval first
+    few = questions.count() * max(rerank_top_n if rerank else 0, final_k) <= SMALL_ROWS
+    return order_hits(docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(cut) if few else cut, "id"), questions, final_k, rerank)
 
 
 def order_hits(hits: DataFrame, questions: DataFrame, final_k: int, rerank: Callable[[Column, Column], Column] | None = None) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkseek.plans import curation, retrieval, vector
+from sparkseek.plans import curation, retrieval, stores, vector
 
-_ALL = retrieval.QUERIES | vector.QUERIES | curation.QUERIES
+_ALL = retrieval.QUERIES | vector.QUERIES | curation.QUERIES | stores.QUERIES
 
 
 def queries() -> dict:

@@ -15,8 +15,8 @@ from sparkseek.sources import files, store
 
 WANTED = ["eng", "fra", "deu", "spa", "tel"]
 BUDGET, ALPHA, FRACTION, MOST, SEED = 500, 0.5, 0.1, 30, 7
-LOW, HIGH = 20, 4000
-EOS, MAX_LEN, BATCH, PAD = 0, 128, 8, 0
+LOW, HIGH = 8, 6000
+EOS, MAX_LEN, BATCH, PAD = 0, 1024, 8, 0
 LAST = 5000
 
 

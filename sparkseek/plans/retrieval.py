@@ -9,6 +9,7 @@ from sparkseek.functions import text as T
 from sparkseek.functions.embed import hash_embedder
 from sparkseek.operators import bm25, evaluate, hybrid, knn
 from sparkseek.plans import _sql as S
+from sparkseek.session import written
 from sparkseek.sources import files, store
 
 CHUNK, OVERLAP, MIN_CHARS = 800, 120, 200
@@ -171,8 +172,8 @@ def retrieval_metrics(spark, d):
 
 
 def mode_comparison(spark, d):
-    rel, q, rows = _relevant(spark, d).persist(), questions(spark, d), docs(spark, d)
-    sparse, dense = bm25.search(rows, q, 50), lexical_ranker(rows, q, 50)
+    q, rows = questions(spark, d), docs(spark, d)
+    rel, sparse, dense = written(_relevant(spark, d)), written(bm25.search(rows, q, 50)), written(lexical_ranker(rows, q, 50))
     none = sparse.select("qid", "id", "rank").limit(0)
     modes = {"dense": hybrid.fuse(dense, none), "hybrid": hybrid.fuse(dense, sparse), "sparse": hybrid.fuse(none, sparse)}
     out = None
@@ -233,7 +234,7 @@ QUERIES = {
     "rerank_lexical": (rerank_lexical, f"""WITH {S.FUSED}, rr AS (SELECT fr.qid, fr.id, fused_rank, coalesce(CASE WHEN len(qt) > 0 AND len(s) > 0 THEN round(len(list_intersect(qt, s)) / (sqrt(len(qt)::DOUBLE) * sqrt(len(s)::DOUBLE)), 9) END, 0.0) AS sc
         FROM fr JOIN q USING (qid) JOIN dset ON dset.id = fr.id WHERE fused_rank <= 30) SELECT qid, rank, id, round(sc, 6) AS rerank_score FROM {S.top("rr", 5, "qid", "sc DESC, fused_rank")}"""),
     "hybrid_retrieve": (hybrid_retrieve, None),
-    "hash_embed": (hash_embed, None),
+    "hash_embed": (hash_embed, f"SELECT doc_id, CAST(384 AS BIGINT) AS dim, CASE WHEN len({S.all_toks('text')}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm2 FROM documents"),
     "context_budget": (context_budget, f"WITH {_BLOCKS} SELECT qid, rank, id, used FROM kp"),
     "prompt_blocks": (prompt_blocks, f"""WITH {_BLOCKS} SELECT qid, length(p) AS chars, md5(p) AS digest FROM (SELECT q.qid, 'Context:' || chr(10) || coalesce(b, '') || chr(10) || chr(10) || 'Question: ' || question AS p
         FROM q LEFT JOIN (SELECT qid, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS b FROM kp GROUP BY qid) USING (qid))"""),

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, app: str = "sparkseek", **settings: str) -> SparkSession:
@@ -21,6 +23,24 @@ def session(master: str | None = None, app: str = "sparkseek", **settings: str)
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one that the session names in ``spark.checkpoint.dir``; of this machine only in tests."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sparkseek.scratch", None)
+    if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="sparkseek-")
+        spark.conf.set("spark.sparkseek.scratch", at)
+    return f"{at.rstrip('/')}/sparkseek/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, and not again when executors are lost."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's sources to the executors once a session, so that Python workers anywhere can import it."""
     context = spark.sparkContext

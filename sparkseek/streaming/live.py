@@ -65,15 +65,15 @@ def last_n_latency(events: DataFrame, n: int = 10_000, by: str = "event_type", v
     """Percentiles over the newest ``n`` values of each key, kept in state as a bounded ring."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring = list(state.get[0]) if state.exists else []
-        for b in batches:
-            ring = (ring + b.sort_values("ts")["v"].tolist())[-n:]
-        state.update((ring,))
-        s = pd.Series(ring)
+        ring = list(zip(*state.get, strict=True)) if state.exists else []
+        for b in batches:  # rows that arrive late find their place by time
+            ring = sorted([*ring, *zip(b["ts"].astype("int64"), b["v"], strict=True)])[-n:]
+        state.update(([int(t) for t, _ in ring], [float(v) for _, v in ring]))
+        s = pd.Series([v for _, v in ring])
         yield pd.DataFrame({"key": [key[0]], "n": [len(ring)], "p50": [s.quantile(0.5)], "p95": [s.quantile(0.95)], "p99": [s.quantile(0.99)]})
 
     rows = events.select(F.col(by).alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col(value).cast("double").alias("v"))
-    return rows.groupBy("key").applyInPandasWithState(update, "key string, n long, p50 double, p95 double, p99 double", "ring array<double>", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(update, "key string, n long, p50 double, p95 double, p99 double", "at array<long>, ring array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
 def answer_events(hits: DataFrame, answers: DataFrame) -> DataFrame:
