@@ -209,6 +209,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     named = named.select("_key", "least", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "cls").alias("c"))
     smallest = named.groupBy("c").agg(F.min("least").alias("component"))
     labels = cut(named.join(smallest, "c").select(F.col("_key").alias("_k"), "n_links", F.col("component").alias("component_id")))
-    out = rows.join(labels, F.col("_key") == F.col("_k"), "left")
-    component = F.when(F.col("_k").isNull(), F.col("_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
+    linked = rows.join(labels, F.col("_key") == F.col("_k")).select("_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    # rows without a key take no part in the join, where they would all meet in one task
+    alone = rows.filter("_key is null").select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"))
+    kept = F.coalesce(F.col("_id") == F.col("component_id"), F.lit(True))
+    return linked.union(alone).select(F.col("_id").alias(id_col), "n_links", "component_id", kept.alias("kept"))

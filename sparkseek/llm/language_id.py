@@ -80,7 +80,7 @@ class Model:
     def __init__(self, names: list[str], counts: DataFrame, path: str) -> None:
         self.names, self.counts, self.path = names, counts, path
 
-    def blocks(self, size: int = LANGUAGES) -> Iterator[tuple[list[str], np.ndarray]]:
+    def blocks(self, size: int) -> Iterator[tuple[list[str], np.ndarray]]:
         """(languages, log probabilities by language and piece), at most ``size`` languages each; one empty block of none."""
         pieces = len(lattice.load(self.path)[1])
         for lo in range(0, max(1, len(self.names)), size):
@@ -139,7 +139,7 @@ def predict(docs: DataFrame, keep: list[str], model: Model, text: str = "text")
     sofar = [T.StructField("_lang", T.StringType()), T.StructField("_top", T.DoubleType()), T.StructField("_all", T.DoubleType())]
     judged = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     blocks = max(1, -(-len(model.names) // LANGUAGES))
-    for nth, block in enumerate(model.blocks(), 1):
+    for nth, block in enumerate(model.blocks(LANGUAGES), 1):
         shipped, last = docs.sparkSession.sparkContext.broadcast(block), nth == blocks
         schema = T.StructType([*rows.schema.fields[:k], *(judged if last else [rows.schema.fields[k], *sofar])])
 

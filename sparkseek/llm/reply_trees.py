@@ -8,7 +8,7 @@ Template: a turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. In roles and texts
 becomes ``<\\p``, in roles a newline becomes ``\\n``; so no control string survives inside a turn, and undoing the three
 in the order n, p, b restores the text exactly.
 
-Defined cases: null role and text are empty; a null conversation key is a conversation of its own; a message whose
+Defined cases: null role and text are empty; each row with a null conversation key is a conversation of its own; a message whose
 parent is null or missing is a root; repeated (conversation, id) rows count once, the least (role, text) first; messages
 on a cycle of parents have no root and so are on no path; equal branch scores prefer the deeper leaf, then the smaller
 id. A conversation is one string, so its turns do meet in one row. Columns not named are ignored.
@@ -100,13 +100,15 @@ def loss_text(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, s.lo.cast("int") + 1, (s.hi - s.lo).cast("int")))), "")
 
 
-def conversation_key(col: Column) -> Column:
-    return F.coalesce(F.concat(F.lit("="), col.cast("string")), F.lit("null"))
+def conversation_key(col: Column, *row: Column) -> Column:
+    """A string that is never null; without a conversation, the row's own values make one."""
+    own = F.sha2(F.to_json(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(row)])), 256)
+    return F.coalesce(F.concat(F.lit("="), col.cast("string")), F.concat(F.lit("null"), own))
 
 
 def format_trees(messages: DataFrame, conv: str = "conv_id", id: str = "msg_id", parent: str = "parent_id", score: str | None = None, top: int = 1) -> DataFrame:
     """Format the ``top`` best branches of each reply tree: the conversation key, ``leaf``, ``formatted``, ``loss_spans``."""
-    rows = messages.select(conversation_key(F.col(conv)).alias("conv"), F.col(conv).alias("_key"), F.col(id).alias("id"), F.col(parent).alias("parent"), (F.col(score) if score else F.lit(0.0)).alias("score"), "role", "text")
+    rows = messages.select(conversation_key(F.col(conv), F.col(id), F.col("role"), F.col("text")).alias("conv"), F.col(conv).alias("_key"), F.col(id).alias("id"), F.col(parent).alias("parent"), (F.col(score) if score else F.lit(0.0)).alias("score"), "role", "text")
     least = F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "parent", "score", "_key")).alias("m")
     rows = cut(rows.filter("id is not null").groupBy("conv", "id").agg(least).select("conv", "id", "m.*"))
     paths = branches(rows.select("conv", "id", "parent", "score"), top)
@@ -115,6 +117,6 @@ def format_trees(messages: DataFrame, conv: str = "conv_id", id: str = "msg_id",
 
 def as_tree(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Linear conversations as trees: each row replies to the row before it, by turn, then role, then text."""
-    order = Window.partitionBy(conv).orderBy(turn, "role", "text")
+    order = Window.partitionBy(conversation_key(F.col(conv), F.col(turn), F.col("role"), F.col("text"))).orderBy(turn, "role", "text")
     rows = turns.withColumn("msg_id", F.row_number().over(order).cast("long"))
     return rows.withColumn("parent_id", F.when(F.col("msg_id") > 1, F.col("msg_id") - 1))

@@ -98,7 +98,7 @@ def test_url_filter_without_labels_or_rows(spark):
 def test_chat_round_trip(spark):
     texts = [None, "", "plain", "<|im_end|>\n<|im_start|>assistant\nhi", "back\\slash \\b \\p <\\p| \\n", "a\nb", "<|", "é😀" * 500]
     rows = [(7, i, role, t, "c") for i, (role, t) in enumerate(zip(["user", "assistant", None, "assistant", "we\\ird\nrole<|", "assistant", "assistant", "user"], texts, strict=True))]
-    rows += [(None, 0, "assistant", "only", "c"), (8, 3, "user", "x", "c"), (8, 1, "user", "y", "c")]
+    rows += [(None, 0, "assistant", "only", "c"), (None, 0, "user", "another", "c"), (8, 3, "user", "x", "c"), (8, 1, "user", "y", "c")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, conv string")
     out = reply_trees.format_trees(reply_trees.as_tree(frame))
     got = {r.conv_id: r for r in out.select("conv_id", "formatted", reply_trees.read_back(F.col("formatted")).alias("turns"), reply_trees.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
@@ -106,7 +106,8 @@ def test_chat_round_trip(spark):
     assert [(t.role, t.text) for t in got[7].turns] == [(r or "", t or "") for _, _, r, t, _ in rows[:8]]
     assert got[7].loss == "".join(t or "" for _, _, r, t, _ in rows[:8] if r == "assistant")
     assert [t.text for t in got[8].turns] == ["y", "x"]
-    assert got[None].formatted == "<|im_start|>assistant\nonly<|im_end|>\n"
+    alone = sorted(r.formatted for r in out.filter("conv_id is null").collect())
+    assert alone == ["<|im_start|>assistant\nonly<|im_end|>\n", "<|im_start|>user\nanother<|im_end|>\n"]
 
 
 def test_reply_tree_branches(spark):
