@@ -126,16 +126,19 @@ class Vectors:
     manifest: dict
 
     @classmethod
-    def build(cls, vectors: DataFrame, root: str, cfg: config.IndexConfig, backend: str = "flat") -> Vectors:
-        """``vectors(id, v)`` under ``root``; ``ivfpq`` also trains cells and codes on a bounded sample."""
+    def build(cls, vectors: DataFrame, root: str, cfg: config.IndexConfig, backend: str = "flat", only_shards: list[int] | None = None) -> Vectors:
+        """``vectors(id, v)`` under ``root``; ``ivfpq`` also trains cells and codes on a bounded sample.
+
+        ``only_shards``: the shards of this node, of those that ``cfg.shards`` makes of the whole set.
+        """
         spark, m = vectors.sparkSession, config_m(cfg)
-        store.write_vectors(vectors, root, cfg.shards, uuid.uuid4().hex)
+        store.write_vectors(vectors, root, cfg.shards, uuid.uuid4().hex, only_shards)
         manifest = store.read_manifest(spark, root) | {"backend": backend, "config": asdict(cfg)}
         if backend == "ivfpq":
             from sparkseek.functions.vectors import resolve_nlist
 
             rows = store.read_vectors(spark, root)
-            n = manifest["n_vectors"]
+            n = rows.count()
             cells = ivfpq.train_coarse(rows, resolve_nlist(n, min(n, 100_000), cfg.nlist))
             cells.write.mode("overwrite").parquet(f"{root}/cells")
             ivfpq.train_codebooks(rows, m, cfg.pq_bits).write.mode("overwrite").parquet(f"{root}/books")
@@ -161,8 +164,15 @@ class Vectors:
             return self.spark.createDataFrame([], "id long, v array<double>")
         return store.read_delta(self.spark, self.root, self.manifest["build_id"]).select("id", F.col("v").cast("array<double>").alias("v"))
 
-    def search(self, queries: DataFrame, k: int = 10, nprobe: int | None = None, rerank_factor: int | None = None, shards: list[int] | None = None) -> DataFrame:
-        """``queries(qid, q)`` -> (qid, id, score, rank). The delta is always searched exactly and merged in."""
+    def search(self, queries: DataFrame, k: int = 10, nprobe: int | None = None, rerank_factor: int | None = None, shards: list[int] | None = None, metadata: DataFrame | None = None) -> DataFrame:
+        """``queries(qid, q)`` -> (qid, id, score, rank). The delta is always searched exactly and merged in.
+
+        With ``metadata(id, ...)``, one row an id, its columns follow; null for hits that have none.
+        """
+        hits = self._search(queries, k, nprobe, rerank_factor, shards)
+        return hits if metadata is None else store.attach_metadata(hits, metadata)
+
+    def _search(self, queries: DataFrame, k: int, nprobe: int | None, rerank_factor: int | None, shards: list[int] | None) -> DataFrame:
         nprobe, rerank = self.cfg.search_defaults(nprobe, rerank_factor)
         config.check_request(k=k, nprobe=nprobe, rerank_factor=rerank)
         bad = queries.filter(F.size("q") != self.cfg.dim).limit(1).collect()

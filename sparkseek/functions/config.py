@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, fields, replace
+from functools import reduce
 from typing import Any
 
 
@@ -57,13 +58,7 @@ def merge_config(base: dict, *layers: dict, overrides: tuple[str, ...] = ()) ->
         path, eq, value = item.partition("=")
         if not eq:
             raise ValueError(f"override {item!r} needs name=value")
-        node: dict = {}
-        leaf = node
-        *parents, last = path.split(".")
-        for p in parents:
-            leaf = leaf.setdefault(p, {})
-        leaf[last] = value
-        out = _deep(out, node)
+        out = _deep(out, reduce(lambda inner, name: {name: inner}, reversed(path.split(".")), value))
     return _numbers(out)
 
 

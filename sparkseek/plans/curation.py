@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkseek.functions import text as T
 from sparkseek.operators import curate, evaluate, examples
 from sparkseek.plans import _sql as S
+from sparkseek.session import written
 from sparkseek.sources import files, store
 
 WANTED = ["eng", "fra", "deu", "spa", "tel"]
@@ -147,7 +148,7 @@ def latency_last_n(spark, d):
 
 def latency_reduction(spark, d):
     rows = _events(spark, d).select((F.col("user_id") % 10).alias("lang"), F.when(F.col("event_id") % 2 == 0, "base").otherwise("opt").alias("kind"), "value")
-    per = evaluate.latency_reduction(rows, "base", "opt", value="value").persist()
+    per = written(evaluate.latency_reduction(rows, "base", "opt", value="value"))
     mean = per.agg(F.round(F.avg("reduction"), 6).alias("reduction")).select(F.lit(-1).cast("long").alias("lang"), "reduction")
     return per.select("lang", F.round("reduction", 6).alias("reduction")).unionByName(mean)
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkseek.functions import config
 from sparkseek.functions import vectors as V
 from sparkseek.operators import evaluate, ivfpq, knn
 from sparkseek.plans import _sql as S
+from sparkseek.session import written
 from sparkseek.sources import store
 
-K, SHARDS, EVERY, PQ_M, PQ_CODES, DIM = 10, 4, 50, 8, 16, 64
+K, SHARDS, EVERY, PQ_M, DIM = 10, 4, 50, 8, 64
 LEAST = 0.3
 NPROBE, RERANK = 24, 16
 
@@ -65,9 +67,9 @@ def gateway_degraded_merge(spark, d):
 
 
 def _delta(spark, d):
-    """Upserts beyond the built index: rows of label 0 come again with their vector turned round, twice, the later as is."""
+    """Upserts beyond the built index: all rows come again with their vector turned round, twice, the later as is."""
     n = 1_000_000
-    rows = vectors(spark, d).filter("label = 0").withColumn("id", F.col("id") + n)
+    rows = vectors(spark, d).withColumn("id", F.col("id") + n)
     first = rows.select("id", F.transform("v", lambda x: -x).alias("v"), F.lit(1).alias("seq"))
     return knn.upsert_delta(rows.limit(0), first.unionByName(rows.select("id", "v", F.lit(2).alias("seq"))))
 
@@ -106,7 +108,7 @@ def _probed(spark, d, nprobe):
     q = queries(spark, d)
     probes = ivfpq.probe_cells(q, cells, nprobe, "qid", "q")
     rows = ivfpq.assign_cells(vectors(spark, d), cells).select("id", "cell_id", V.normalize(F.col("v")).alias("v"))
-    near = rows.join(F.broadcast(probes.join(q.select("qid", V.normalize(F.col("q")).alias("q")), "qid")), "cell_id")
+    near = rows.join(ivfpq.sized(probes.join(q.select("qid", V.normalize(F.col("q")).alias("q")), "qid"), q.count() * nprobe, 8 * DIM), "cell_id")
     return near.select("qid", "id", "cell_rank", F.round(V.dot(F.col("q"), F.col("v")), 9).alias("score"))
 
 
@@ -115,10 +117,11 @@ def ivf_probe_topk(spark, d):
 
 
 def _books(spark, d):
-    """Codewords: the sub-vectors of the first rows."""
-    rows = vectors(spark, d).filter(F.col("id") < PQ_CODES).select("id", V.normalize(F.col("v")).alias("v"))
+    """Codewords: the sub-vectors of every label's mean over the whole table, numbered in order of labels."""
+    code = F.row_number().over(Window.orderBy("cell_id")).cast("long") - 1  # one row a label
+    rows = _centroids(spark, d).select(code.alias("code"), "c")
     width = DIM // PQ_M
-    return rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PQ_M - 1).cast("long"))).alias("sub"), F.col("id").alias("code"), "v").select("sub", "code", F.slice("v", (F.col("sub") * width + 1).cast("int"), F.lit(width)).alias("w"))
+    return rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PQ_M - 1).cast("long"))).alias("sub"), "code", "c").select("sub", "code", F.slice("c", (F.col("sub") * width + 1).cast("int"), F.lit(width)).alias("w"))
 
 
 def pq_encode(spark, d):
@@ -148,8 +151,8 @@ def ann_recall_at_k(spark, d):
 
 def nprobe_sweep(spark, d):
     """Recall and rows scanned for each number of probed cells: one scan, a cut on the cell's rank for each."""
-    truth = knn.exact_topk(vectors(spark, d), queries(spark, d), K).select("qid", "id").persist()
-    scored = _probed(spark, d, 8).persist()
+    truth = written(knn.exact_topk(vectors(spark, d), queries(spark, d), K).select("qid", "id"))
+    scored = written(_probed(spark, d, 8))
     sweep = spark.createDataFrame([(1,), (2,), (4,), (8,)], "nprobe long")
     rows = scored.join(F.broadcast(sweep), F.col("cell_rank") <= F.col("nprobe"))
     cost = rows.groupBy("nprobe").agg(F.count("*").alias("scanned"))
@@ -201,13 +204,13 @@ _CENT = f"""{S.VECTORS}, cp AS (SELECT label, p, round(avg(x), 9) AS x FROM (SEL
     pr AS (SELECT id AS qid, cell_id, row_number() OVER (PARTITION BY id ORDER BY dd, cell_id) AS cell_rank FROM cd WHERE id % {EVERY} = 0),
     px AS (SELECT s.qid, s.id, cell_rank, score FROM s JOIN ca USING (id) JOIN pr ON pr.qid = s.qid AND pr.cell_id = ca.cell_id)"""
 _W = DIM // PQ_M
-_PQ = f"""{_CENT}, bk AS (SELECT sub, id AS code, list_slice(v, sub * {_W} + 1, sub * {_W} + {_W}) AS w FROM v, range(0, {PQ_M}) r(sub) WHERE id < {PQ_CODES}),
+_PQ = f"""{_CENT}, bk AS (SELECT sub, code, list_slice(c, sub * {_W} + 1, sub * {_W} + {_W}) AS w FROM (SELECT row_number() OVER (ORDER BY cell_id) - 1 AS code, c FROM ce), range(0, {PQ_M}) r(sub)),
     sv AS (SELECT id, sub, list_slice(v, sub * {_W} + 1, sub * {_W} + {_W}) AS x FROM v, range(0, {PQ_M}) r(sub)),
     sd AS (SELECT id, sub, code, round(list_sum(list_transform(range(1, {_W + 1}), lambda i: (x[i] - w[i]) * (x[i] - w[i]))), 9) AS dd, list_sum(list_transform(range(1, {_W + 1}), lambda i: (x[i] - w[i]) * (x[i] - w[i]))) AS raw FROM sv JOIN bk USING (sub)),
     co AS (SELECT id, sub, code FROM sd QUALIFY row_number() OVER (PARTITION BY id, sub ORDER BY dd, code) = 1),
     ad AS (SELECT px.qid, px.id, round(sum(sd.raw), 9) AS d FROM px JOIN co ON co.id = px.id JOIN sd ON sd.id = px.qid AND sd.sub = co.sub AND sd.code = co.code WHERE cell_rank <= 3 GROUP BY px.qid, px.id)"""
 _SH = f"{S.VECTORS}, sh AS (SELECT *, id % {SHARDS} AS shard_id, row_number() OVER (PARTITION BY qid, id % {SHARDS} ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= {K})"
-_DELTA = "SELECT vec_id + 1000000 AS id, CAST(embedding AS DOUBLE[]) AS r FROM embeddings WHERE label = 0"
+_DELTA = "SELECT vec_id + 1000000 AS id, CAST(embedding AS DOUBLE[]) AS r FROM embeddings"
 _TOP = "SELECT qid, rank, id, round(score, 6) AS score FROM "
 _GRID = f"""{_PQ}, tr AS (SELECT qid, id FROM {S.top("s", K)}), gr AS (SELECT * FROM (VALUES (0), (4)) a(rerank), (VALUES (1), (3)) b(nprobe)),
     sc AS (SELECT rerank, nprobe, ad.qid, ad.id, d FROM ad JOIN px USING (qid, id) JOIN gr ON cell_rank <= nprobe),
@@ -239,5 +242,5 @@ QUERIES = {
     "operating_point": (operating_point, f"WITH {_SWEEP} SELECT nprobe, recall FROM sp WHERE scanned <= 0.5 * (SELECT count(*) FROM s) ORDER BY recall DESC, nprobe LIMIT 1"),
     "ivfpq_sweep": (ivfpq_sweep, f"WITH {_GRID} SELECT CAST(g.rerank AS BIGINT) AS rerank, CAST(g.nprobe AS BIGINT) AS nprobe, count(*) AS scanned, round(coalesce(any_value(rc.hits), 0) / (SELECT count(DISTINCT qid) * {K} FROM tr)::DOUBLE, 6) AS recall FROM sc g LEFT JOIN rc ON rc.rerank = g.rerank AND rc.nprobe = g.nprobe GROUP BY g.rerank, g.nprobe"),
     "ivfpq_trained_topk": (ivfpq_trained_topk, None),
-    "index_stats": (index_stats, f"SELECT vec_id % {SHARDS} AS shard_id, count(*) AS n, 'shard' AS kind FROM embeddings GROUP BY ALL UNION ALL SELECT -1, count(*), 'delta' FROM embeddings WHERE label = 0"),
+    "index_stats": (index_stats, f"SELECT vec_id % {SHARDS} AS shard_id, count(*) AS n, 'shard' AS kind FROM embeddings GROUP BY ALL UNION ALL SELECT -1, count(*), 'delta' FROM embeddings"),
 }

@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkseek.functions import text as T
-from sparkseek.session import ship
+from sparkseek.session import ship, written
 
 SUFFIXES = (".txt", ".md", ".rst", ".csv", ".pdf", ".docx", ".html", ".htm")
+#: Bytes that hold the header of any matrix file.
+HEADER = 1 << 17
 _SKIP = {"script", "style", "noscript"}
 _WORDS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -59,11 +61,9 @@ def docx_text(data: bytes) -> str:
 
 
 def pdf_text(data: bytes) -> str:
-    """Page texts joined by blank lines; a page that fails is left out (S3). Needs pypdf; without it the text is empty."""
-    try:
-        from pypdf import PdfReader
-    except ImportError:
-        return ""
+    """Page texts joined by blank lines; a page that fails is left out (S3). Needs pypdf; without it the file counts as unreadable."""
+    from pypdf import PdfReader
+
     pages = []
     for page in PdfReader(io.BytesIO(data)).pages:
         try:
@@ -121,7 +121,7 @@ def number_chunks(chunks: DataFrame) -> DataFrame:
     document, spread by range.
     """
     counts = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange("doc_id").withColumn("_r", F.spark_partition_id()).persist()
+    ranged = written(counts.repartitionByRange("doc_id").withColumn("_r", F.spark_partition_id()))
     totals = ranged.groupBy("_r").agg(F.sum("n").alias("t"))
     offset = totals.select("_r", F.coalesce(F.sum("t").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("_r").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -162,21 +162,29 @@ def read_metadata(spark: SparkSession, path: str, id_field: str = "id") -> DataF
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """``(id, v)`` of .npy matrices; the row number is the id (S10). Files of a folder follow each other by name.
 
-    Only headers are read for the row counts, then each file is parsed where it is read.
+    Row counts come from the headers alone; then each file is viewed where it is read, in place, and sent on in slices of
+    rows. A file is read by one task, and Spark reads files of less than 2 GB so, which bounds what a task holds.
     """
     import numpy as np
+    from numpy.lib import format as npy
 
     ship(spark)
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
 
-    def rows(data: bytes) -> np.ndarray:
-        return np.load(io.BytesIO(data), allow_pickle=False)
+    def header(data: bytes) -> tuple[tuple, bool, np.dtype, int]:
+        head = io.BytesIO(data)
+        read = npy.read_array_header_1_0 if npy.read_magic(head) == (1, 0) else npy.read_array_header_2_0
+        shape, by_column, kind = read(head)
+        if kind.hasobject:
+            raise ValueError("a matrix of objects is no matrix of numbers")
+        return shape, by_column, kind, head.tell()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"path": b["path"], "n": [len(rows(bytes(c))) for c in b["content"]]})
+            yield pd.DataFrame({"path": b["path"], "n": [header(bytes(c))[0][0] for c in b["head"]]})
 
-    sizes = sorted((r["path"], r["n"]) for r in raw.mapInPandas(count, "path string, n long").collect())  # a row a file
+    heads = raw.select("path", F.substring("content", 1, HEADER).alias("head"))
+    sizes = sorted((r["path"], r["n"]) for r in heads.mapInPandas(count, "path string, n long").collect())  # a row a file
     starts, at = {}, 0
     for name, n in sizes:
         starts[name] = at
@@ -185,7 +193,8 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     def parse_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b["path"], b["content"], strict=True):
-                x = rows(bytes(content))
+                shape, by_column, kind, at = header(content[:HEADER])
+                x = np.frombuffer(content, kind, offset=at).reshape(shape, order="F" if by_column else "C")
                 for lo in range(0, len(x), 10_000):
                     part = x[lo : lo + 10_000]
                     yield pd.DataFrame({"id": starts[name] + lo + np.arange(len(part)), "v": list(part.astype(np.float32))})

@@ -38,16 +38,20 @@ def search_postings(spark: SparkSession, root: str, questions: DataFrame, k: int
     return bm25.top_k(posted.groupBy("qid", "id").agg(F.round(F.sum("weight"), 9).alias("score")), k)
 
 
-def write_vectors(vectors: DataFrame, root: str, shards: int, build_id: str) -> None:
-    """Vectors by shard, sorted by id (K6). Ids must be unique (P12). The build id names the delta that belongs to it."""
+def write_vectors(vectors: DataFrame, root: str, shards: int, build_id: str, only: list[int] | None = None) -> None:
+    """Vectors by shard, sorted by id (K6). Ids must be unique (P12). The build id names the delta that belongs to it.
+
+    ``only``: the shards that this node holds; the manifest still counts those of all nodes.
+    """
     twice = vectors.groupBy("id").count().filter("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"id {twice[0][0]} occurs twice")
     rows = vectors.withColumn("shard_id", V.shard_of(F.col("id"), shards))
+    rows = rows.filter(F.col("shard_id").isin(only)) if only is not None else rows
     rows.repartition("shard_id").sortWithinPartitions("shard_id", "id").write.mode("overwrite").partitionBy("shard_id").parquet(f"{root}/vectors")
     n = vectors.count()
     sizes = [len(range(s, n, shards)) for s in range(shards)]
-    write_manifest(vectors.sparkSession, root, {"version": VERSION, "build_id": build_id, "n_vectors": n, "shards": shards, "shard_sizes": sizes})
+    write_manifest(vectors.sparkSession, root, {"version": VERSION, "build_id": build_id, "n_vectors": n, "shards": shards, "shard_sizes": sizes, "only_shards": only})
 
 
 def write_manifest(spark: SparkSession, root: str, values: dict) -> None:

@@ -53,6 +53,10 @@ def test_vector_service(spark, tmp_path, backend):
         index.upsert(spark.createDataFrame([(7, [0.0] * 32, 1)], "id long, v array<double>, seq int"))
     with pytest.raises(ValueError, match="components"):
         index.search(spark.createDataFrame([(0, [1.0])], "qid long, q array<double>"))
+    notes = spark.createDataFrame([(5000, "new"), (-1, "none")], "id long, note string")
+    assert {(r.id == 5000, r.note) for r in index.search(asked.filter(F.col("qid") == q.qid), 2, metadata=notes).collect()} == {(True, "new"), (False, None)}
+    part = engine.Vectors.build(rows, str(tmp_path / "part"), config.IndexConfig(dim=32, shards=3, nlist=8, pq_m=8, pq_bits=4), backend, [0, 2])
+    assert {r.id % 3 for r in part.search(asked, 5, nprobe=8, rerank_factor=20).collect()} == {0, 2} and part.manifest["shard_sizes"] == [400] * 3
     assert {(r.shard_id, r.n) for r in index.stats().collect()} == {(0, 400), (1, 400), (2, 400), (-1, 1)}
 
 
@@ -64,8 +68,11 @@ def test_generated_rows_and_files(spark, tmp_path):
     assert max(r["count"] for r in got) - min(r["count"] for r in got) <= 1
     assert store.write_jsonl(rows, str(tmp_path / "rows")) == 480
     store.write_report(rows.groupBy("lang").count(), str(tmp_path / "report"))
+    (tmp_path / "pdf").mkdir()
+    (tmp_path / "pdf" / "a.pdf").write_bytes(b"no pdf")
+    assert [(r.text, r.corrupt) for r in files.read_documents(spark, str(tmp_path / "pdf")).collect()] == [("", True)]
     (tmp_path / "m").mkdir()
     x = np.arange(12, dtype=np.float32).reshape(4, 3)
     np.save(tmp_path / "m" / "a.npy", x[:3])
-    np.save(tmp_path / "m" / "b.npy", x[3:])
+    np.save(tmp_path / "m" / "b.npy", np.asfortranarray(x[3:]))
     assert [list(r.v) for r in files.read_matrix(spark, str(tmp_path / "m")).orderBy("id").collect()] == x.tolist()
