@@ -64,6 +64,20 @@ def chat_formatting() -> str:
     FROM t GROUP BY conv_id"""
 
 
+def spherical_caps(threshold: float = 0.95) -> str:
+    """Brute force over all pairs of vectors of one length, and what links reach."""
+    return f"""
+    WITH RECURSIVE v AS (SELECT vec_id, CASE WHEN len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+        THEN e END AS e FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),
+    u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u FROM v WHERE e IS NOT NULL),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.u) = len(b.u)
+        WHERE list_inner_product(a.u, b.u) >= {threshold}),
+    r AS (SELECT vec_id AS id, vec_id AS reached FROM v UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.reached),
+    c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id),
+    n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON id = vec_id LEFT JOIN n ON a = vec_id"""
+
+
 def mixing(seed: str = "mix-1") -> str:
     return rf"""
     WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,

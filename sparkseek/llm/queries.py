@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": oracles.url_filters(), "op2_chat_formatting": oracles.chat_formatting(), "op3_mixing": oracles.mixing()}
+    return {"op1_url_filters": oracles.url_filters(), "op2_chat_formatting": oracles.chat_formatting(), "op3_mixing": oracles.mixing(), "op10_spherical_caps": oracles.spherical_caps()}
