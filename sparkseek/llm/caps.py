@@ -102,7 +102,8 @@ def links(classes: DataFrame, threshold: float, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(dims.astype(np.int32)), lists, *b.columns], schema.names)
 
     found = cut(map_arrow(classes.select("cls", "size", "v"), assign, schema))
-    filed = found.withColumn("f", F.explode("fs"))
+    # of a vector's sorted filters only those below the one at hand travel: they tell whether a pair was counted there
+    filed = found.select("dim", "cls", "size", "v", "fs", F.posexplode("fs").alias("at", "f")).withColumn("fs", F.slice("fs", F.lit(1), F.col("at")))
     hot = cut(filed.groupBy("dim", "f").count().filter(F.col("count") > CHUNK).select("dim", "f", F.ceil(F.col("count") / CHUNK).cast("int").alias("m")))
     side = F.broadcast(hot) if hot.count() <= 100_000 else hot
     dealt = filed.join(side, ["dim", "f"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
@@ -121,14 +122,14 @@ def links(classes: DataFrame, threshold: float, rows: int) -> DataFrame:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(i, j, f, s, cls, size, vectors, filter lists) of each whole (dim, f, i, j) group of sorted batches."""
+    """(i, j, s, cls, size, vectors, filters below the group's) of each whole (dim, f, i, j) group of sorted batches."""
     held: pa.Table | None = None
 
     def emit(t: pa.Table) -> tuple:
         one = t.combine_chunks()
         v = _unit(np.array(one.column("v").combine_chunks().flatten(), float).reshape(one.num_rows, -1))
         fs = one.column("fs").combine_chunks()
-        return (one.column("i")[0].as_py(), one.column("j")[0].as_py(), one.column("f")[0].as_py(), *(one.column(c).to_numpy() for c in ("s", "cls", "size")), v, np.diff(fs.offsets.to_numpy()), fs.flatten().to_numpy())
+        return (one.column("i")[0].as_py(), one.column("j")[0].as_py(), *(one.column(c).to_numpy() for c in ("s", "cls", "size")), v, np.diff(fs.offsets.to_numpy()), fs.flatten().to_numpy())
 
     for b in batches:
         if not b.num_rows:
@@ -153,7 +154,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield emit(held)
 
 
-def _verify(i: int, j: int, f: int, s: np.ndarray, cls: np.ndarray, size: np.ndarray, v: np.ndarray, n: np.ndarray, flat: np.ndarray, threshold: float):
+def _verify(i: int, j: int, s: np.ndarray, cls: np.ndarray, size: np.ndarray, v: np.ndarray, n: np.ndarray, flat: np.ndarray, threshold: float):
     """Links of one cap (or of one pair of its chunks) that no smaller shared cap has: (class, smaller class or -1, links)."""
     if len(cls) < 2:
         return None
@@ -164,11 +165,10 @@ def _verify(i: int, j: int, f: int, s: np.ndarray, cls: np.ndarray, size: np.nda
     if not near.any():
         return None
     back = np.repeat(np.arange(len(cls)), n)
-    lower = flat < f
-    seen, col = np.unique(flat[lower], return_inverse=True)
+    seen, col = np.unique(flat, return_inverse=True)
     if len(seen):
         member = np.zeros((len(cls), len(seen)), np.float32)
-        member[back[lower], col] = 1
+        member[back, col] = 1
         near &= (member[left] @ member[right].T) == 0
     if not near.any():
         return None
