@@ -8,7 +8,9 @@ make up the rest. Vectors are joined on filters and verified by their exact cosi
 
 ``K`` and the height follow the number of vectors: a vector lies in ``LIST`` caps on average and a cap holds about
 ``CAP`` vectors of an unclustered table. Vectors of one length are compared; equal vectors are one class. A cap beyond ``CHUNK``
-vectors is dealt into chunks, and each pair of chunks is one task. A pair that shares several caps is counted in the
+vectors is dealt into chunks, and each pair of chunks is one task. To its caps a vector travels in one byte a component, with
+the length of what rounding took: this bounds every cosine from above, so a first pass finds the vectors of a cap that may have
+a partner there, and only these are sent whole and verified. A pair that shares several caps is counted in the
 smallest one. Links are summed where they are found and reported as a spanning forest: no pair leaves a task.
 
 The filters are probabilistic: recall is measured against brute force in the tests and in the README; no pair below the threshold is ever
@@ -76,12 +78,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 _HIT = T.StructType([T.StructField(c, T.LongType()) for c in ("cls", "other", "n")])
+_NEAR = T.StructType([T.StructField(c, t()) for c, t in (("dim", T.IntegerType), ("f", T.LongType), ("i", T.IntegerType), ("j", T.IntegerType), ("s", T.IntegerType), ("cls", T.LongType))])
 
 
 def links(classes: DataFrame, threshold: float, rows: int) -> DataFrame:
     """``classes(cls, size, v)`` -> rows (cls, other, n): ``n`` links found, ``other`` a smaller class joined to it, or null."""
     spark = classes.sparkSession
-    schema = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("fs", T.ArrayType(T.LongType())), *classes.select("cls", "size", "v").schema.fields])
+    own = [T.StructField("dim", T.IntegerType()), T.StructField("fs", T.ArrayType(T.LongType())), T.StructField("q", T.ArrayType(T.ByteType())), T.StructField("scale", T.DoubleType()), T.StructField("err", T.DoubleType())]
+    schema = T.StructType([*own, *classes.select("cls", "size", "v").schema.fields])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, tuple] = {}
@@ -91,46 +95,59 @@ def links(classes: DataFrame, threshold: float, rows: int) -> DataFrame:
             flat = v.flatten().to_numpy(zero_copy_only=False).astype(float)
             starts = np.cumsum(dims) - dims
             filters: list = [None] * len(dims)
+            bytes_, scale, err = np.zeros(len(flat), np.int8), np.zeros(len(dims)), np.zeros(len(dims))
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 codes.setdefault(dim, code(int(dim), rows))
                 for part in np.array_split(at, -(-len(at) // 1000)):
-                    for k, found in zip(part, decode(_unit(flat[starts[part][:, None] + np.arange(dim)]), *codes[dim]), strict=True):
+                    place = starts[part][:, None] + np.arange(dim)
+                    unit = _unit(flat[place])
+                    bytes_[place], scale[part], err[part] = _rounded(unit)
+                    for k, found in zip(part, decode(unit, *codes[dim]), strict=True):
                         filters[k] = found
             offsets = np.cumsum([0, *map(len, filters)])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(filters) if filters else np.zeros(0, np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(dims.astype(np.int32)), lists, *b.columns], schema.names)
+            small = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(flat)].astype(np.int32)), pa.array(bytes_))
+            yield pa.RecordBatch.from_arrays([pa.array(dims.astype(np.int32)), lists, small, pa.array(scale), pa.array(err), *b.columns], schema.names)
 
     found = cut(map_arrow(classes.select("cls", "size", "v"), assign, schema))
-    # of a vector's sorted filters only those below the one at hand travel: they tell whether a pair was counted there
-    filed = found.select("dim", "cls", "size", "v", "fs", F.posexplode("fs").alias("at", "f")).withColumn("fs", F.slice("fs", F.lit(1), F.col("at")))
+    filed = found.select("dim", F.explode("fs").alias("f"), "cls", "q", "scale", "err")
     hot = cut(filed.groupBy("dim", "f").count().filter(F.col("count") > CHUNK).select("dim", "f", F.ceil(F.col("count") / CHUNK).cast("int").alias("m")))
     side = F.broadcast(hot) if hot.count() <= 100_000 else hot
     dealt = filed.join(side, ["dim", "f"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
     dealt = dealt.withColumn("s", F.pmod(F.xxhash64("cls"), F.col("m")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    dealt = dealt.select("dim", "f", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "cls", "size", "v", "fs")
+    dealt = dealt.select("dim", "f", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "cls", "q", "scale", "err")
     by = ["dim", "f", "i", "j"]
+    n = partitions(spark, rows * LIST, 100_000)
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            some = _screen(group, threshold)
+            if len(some):
+                yield group.select(_NEAR.names).take(pa.array(some)).to_batches()[0]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            hits = _verify(*group, threshold)
+            hits = _verify(group, threshold)
             if hits is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(hits[0]), pa.array(hits[1], mask=hits[1] < 0), pa.array(hits[2])], _HIT.names)
 
-    n = partitions(spark, rows * LIST, 100_000)
-    return map_arrow(dealt.repartition(n, *by).sortWithinPartitions(*by), verify, _HIT)
+    near = map_arrow(dealt.repartition(n, *by).sortWithinPartitions(*by), screen, _NEAR)
+    # of a vector's filters only those below the one at hand travel: they tell whether a pair was counted there
+    whole = near.join(found.select("cls", "size", "v", "fs"), "cls").withColumn("fs", F.filter("fs", lambda x: x < F.col("f")))
+    return map_arrow(whole.repartition(n, *by).sortWithinPartitions(*by), verify, _HIT)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(i, j, s, cls, size, vectors, filters below the group's) of each whole (dim, f, i, j) group of sorted batches."""
-    held: pa.Table | None = None
+def _rounded(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit rows in one byte a component: (bytes, what one step is worth, length of the difference)."""
+    scale = np.abs(unit).max(axis=1) / 127
+    small = np.rint(unit / scale[:, None]).astype(np.int8)
+    return small, scale, np.linalg.norm(unit - small * scale[:, None], axis=1)
 
-    def emit(t: pa.Table) -> tuple:
-        one = t.combine_chunks()
-        v = _unit(np.array(one.column("v").combine_chunks().flatten(), float).reshape(one.num_rows, -1))
-        fs = one.column("fs").combine_chunks()
-        return (one.column("i")[0].as_py(), one.column("j")[0].as_py(), *(one.column(c).to_numpy() for c in ("s", "cls", "size")), v, np.diff(fs.offsets.to_numpy()), fs.flatten().to_numpy())
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Each whole (dim, f, i, j) group of sorted batches, in one chunk."""
+    held: pa.Table | None = None
     for b in batches:
         if not b.num_rows:
             continue
@@ -139,7 +156,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         if held is not None:
             last = [held.column(c)[0].as_py() for c in ("dim", "f", "i", "j")]
             if (keys[:, 0] != last).any():
-                yield emit(held)
+                yield held.combine_chunks()
                 held = None
         cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), t.num_rows]
         for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -149,18 +166,48 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                 held = part
             else:
                 held = None
-                yield emit(part)
+                yield part.combine_chunks()
     if held is not None:
-        yield emit(held)
+        yield held.combine_chunks()
+
+
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(rows of the one chunk, rows of the other, whether both are the same)."""
+    i, j, s = group.column("i")[0].as_py(), group.column("j")[0].as_py(), group.column("s").to_numpy()
+    return (np.arange(len(s)), np.arange(len(s)), True) if i == j else (np.flatnonzero(s == i), np.flatnonzero(s == j), False)
+
+
+def _lists(group: pa.Table, name: str) -> pa.ListArray:
+    return group.column(name).combine_chunks()
+
+
+def _screen(group: pa.Table, threshold: float) -> np.ndarray:
+    """Rows that may have a partner in the group: the rounded cosine and all that rounding can have taken reach the threshold."""
+    if group.num_rows < 2:
+        return np.zeros(0, np.int64)
+    left, right, same = _sides(group)
+    x = _lists(group, "q").flatten().to_numpy().reshape(group.num_rows, -1) * group.column("scale").to_numpy()[:, None]
+    err = group.column("err").to_numpy()
+    # u.w - u'.w' = u.(w - w') + (u - u').w', and w' is no longer than 1 + err of w
+    near = x[left] @ x[right].T + err[left][:, None] * (1 + err[right]) + err[right] >= threshold - 1e-9
+    if same:
+        np.fill_diagonal(near, False)
+    some = np.zeros(group.num_rows, bool)
+    some[left] |= near.any(axis=1)
+    some[right] |= near.any(axis=0)
+    return np.flatnonzero(some)
 
 
-def _verify(i: int, j: int, s: np.ndarray, cls: np.ndarray, size: np.ndarray, v: np.ndarray, n: np.ndarray, flat: np.ndarray, threshold: float):
+def _verify(group: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Links of one cap (or of one pair of its chunks) that no smaller shared cap has: (class, smaller class or -1, links)."""
-    if len(cls) < 2:
+    if group.num_rows < 2:
         return None
-    left, right = (np.arange(len(cls)),) * 2 if i == j else (np.flatnonzero(s == i), np.flatnonzero(s == j))
+    left, right, same = _sides(group)
+    cls, size, fs = group.column("cls").to_numpy(), group.column("size").to_numpy(), _lists(group, "fs")
+    n, flat = np.diff(fs.offsets.to_numpy()), fs.flatten().to_numpy()
+    v = _unit(np.array(_lists(group, "v").flatten(), float).reshape(group.num_rows, -1))
     near = v[left] @ v[right].T >= threshold
-    if i == j:
+    if same:
         np.fill_diagonal(near, False)
     if not near.any():
         return None
@@ -174,7 +221,7 @@ def _verify(i: int, j: int, s: np.ndarray, cls: np.ndarray, size: np.ndarray, v:
         return None
     total = np.zeros(len(cls), np.int64)
     total[left] += near @ size[right]
-    if i != j:
+    if not same:
         total[right] += near.T @ size[left]
     label = np.arange(len(cls))
     while True:  # least index over links, flattened each round
