@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseek.llm import language_id, mixing, near_copies, packing, secrets
-from sparkseek.llm._common import cut
+from sparkseek.llm._common import cut, drop
 
 #: Posterior below which a document has no likely language.
 LEAST_SCORE = 0.5
@@ -49,12 +49,22 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a likely language, ``lang`` set to it.
+
+    Null text and text without a letter go, as does a posterior under ``LEAST_SCORE``. Where no row has a label nothing is
+    learned and every document goes. Equal scores take the smallest language name; equal rows get equal verdicts.
+    """
     judged = language_id.predict(_whole(docs), ["row"], language_id.train(docs))
     kept = judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return kept.select(F.col("row").withField("lang", F.col("lang_pred")).alias("row")).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the smallest id, null ids last; equal ids go by the text of their place in the files.
+
+    Texts without a word count as copies of each other, null or empty; long texts are compared whole. Equal rows are
+    one group, so one of them stays.
+    """
     rows, key = _numbered(docs)
     slim = rows.select("doc_id", "text", F.col(key).alias("_row"))
     found = slim.select("_row", "doc_id").join(near_copies.near_copies(slim, "_row"), "_row")
@@ -63,12 +73,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, each secret in its text replaced by ``REDACTED`` and ``n_chars`` the new length.
+
+    A row without a secret stays as it is, null text and its ``n_chars`` included. Equal rows change alike.
+    """
     found = secrets.find_secrets(_whole(docs), ["row"], secrets.train(docs), redact=REDACTED)
     changed = F.col("row").withField("text", F.col("redacted")).withField("n_chars", F.length("redacted").cast("long"))
     return found.select(F.when(F.col("spans") != "", changed).otherwise(F.col("row")).alias("row")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    A document without a word has size zero and is not taken; a null source is a source of its own, last in order.
+    Ties are broken by the row's place in the files, so equal rows are dealt with one by one and reruns agree.
+    """
     rows, key = _numbered(docs)
     taken = mixing.mix(rows.select("doc_id", "text", "source", F.col(key).alias("_row")), ["_row"])
     copies = taken.filter("taken > 0").select(F.col("_row").alias(key), F.explode(F.sequence(F.lit(1), F.expr("cast(taken div size as int)"))).alias("_copy"))
@@ -76,6 +95,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document, each with its sequence and place there: the columns of ``packing.pack``.
+
+    Null text is empty and packs as its end token alone; a document over 1024 tokens becomes several pieces, and a
+    document that the mix repeats is packed as often.
+    """
     return packing.pack(docs, ["doc_id"])
 
 
@@ -93,5 +117,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        kept = cut(stage(spark, docs, sf_dir))
+        drop(docs)  # what the next stage reads is written; the input table itself is not a cut
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
