@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.operators.ranks import range_rank
+from sparkseek.operators.ranks import value_ranks
 
 KS = (1, 3, 5, 10)
 
@@ -36,22 +36,28 @@ def ann_recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return both.agg(F.count("*").alias("hits")).join(F.broadcast(n)).select(F.round(F.col("hits") / F.col("n"), 6).alias("recall"))
 
 
+def _at(place: Column) -> Column:
+    """The value at a place from 1 on, out of :func:`value_ranks`."""
+    return F.max(F.when((F.col("first") <= place) & (place <= F.col("last")), F.col("v")))
+
+
 def percentiles(rows: DataFrame, value: str, by: list[str], at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Exact percentiles with linear interpolation."""
-    return rows.groupBy(*by).agg(*[F.round(F.percentile(value, F.lit(p)), 6).alias(f"p{round(p * 100)}") for p in at])
+    """Exact percentiles with linear interpolation (A13), null for a group without a value; places come from ranges of values."""
+    aggs = []
+    for p in at:
+        place = (F.col("n") - 1) * F.lit(p) + 1
+        share = F.max(place - F.floor(place))
+        low, high = _at(F.floor(place)), _at(F.ceil(place))
+        aggs.append(F.round(low + F.when(share > 0, (high - low) * share).otherwise(0.0), 6).alias(f"p{round(p * 100)}"))
+    return value_ranks(rows, by, value).groupBy(*by).agg(*aggs)
 
 
 def nearest_rank(rows: DataFrame, value: str, by: list[str], q: float = 0.95) -> DataFrame:
-    """Median and the value at index ``min(n - 1, int(q * n))`` of the sorted values.
-
-    Ranks come from ranges of values, so a group with most of the rows spreads over many tasks.
-    """
-    ranked = range_rank(rows.filter(F.col(value).isNotNull()).select(*by, value), by, [value], "r")
-    last = ranked.groupBy(*by).agg(F.max("r").alias("n"))
-    at = F.least(F.col("n") - 1, F.floor(F.col("n") * q)) + 1
-    middle = F.col("r").isin(F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2))
-    both = ranked.join(last, by)
-    return both.groupBy(*by).agg(F.round(F.avg(F.when(middle, F.col(value))), 6).alias("median"), F.round(F.max(F.when(F.col("r") == at, F.col(value))), 6).alias("p95"))
+    """Median and the value at index ``min(n - 1, int(q * n))`` of the sorted values (A14); groups without a value have no row."""
+    n = F.col("n")
+    middle = (_at(F.floor((n + 1) / 2)) + _at(F.ceil((n + 1) / 2))) / 2
+    index = F.least(n - 1, F.floor(n * q)) + 1
+    return value_ranks(rows, by, value).filter("n > 0").groupBy(*by).agg(F.round(middle, 6).alias("median"), F.round(_at(index), 6).alias("p95"))
 
 
 def load_test(requests: DataFrame, threads: str = "threads", started: str = "started", ms: str = "ms") -> DataFrame:
@@ -61,8 +67,9 @@ def load_test(requests: DataFrame, threads: str = "threads", started: str = "sta
     """
     ok = F.col(ms).isNotNull()
     span = F.max(F.when(ok, F.col(started) + F.col(ms))) - F.min(F.when(ok, F.col(started)))
-    p = lambda q: F.round(F.percentile(ms, F.lit(q)), 6).alias(f"p{round(q * 100)}")
-    return requests.groupBy(threads).agg(F.count(F.when(ok, 1)).alias("n"), F.count(F.when(~ok, 1)).alias("errors"), F.round(F.count(F.when(ok, 1)) * 1000.0 / span, 6).alias("qps"), p(0.5), p(0.95), p(0.99))
+    done = requests.groupBy(threads).agg(F.count(F.when(ok, 1)).alias("n"), F.count(F.when(~ok, 1)).alias("errors"), F.round(F.count(F.when(ok, 1)) * 1000.0 / span, 6).alias("qps"))
+    spread = percentiles(requests, ms, [threads]).withColumnRenamed(threads, "_threads")
+    return done.join(spread, F.col(threads).eqNullSafe(F.col("_threads"))).drop("_threads")
 
 
 def last_n(rows: DataFrame, n: int, order: list[Column]) -> DataFrame:

@@ -328,6 +328,17 @@ def test_nearest_rank_and_percentiles(spark):
     assert {r.g: r.p95 for r in evaluate.percentiles(rows, "v", ["g"]).collect()}["a"] == pytest.approx(np.percentile(range(1, 21), 95))
 
 
+def test_percentiles_of_hot_values_and_nulls(spark):
+    values = [5.0] * 300 + [float(v) for v in range(40)] + [None] * 7
+    rows = spark.createDataFrame([("a", v) for v in values] + [(None, 1.0), (None, 2.0), ("none", None)], "g string, v double")
+    at = (0.0, 0.1, 0.5, 0.95, 1.0)
+    got = {r.g: list(r)[1:] for r in evaluate.percentiles(rows, "v", ["g"], at).collect()}
+    assert got["a"] == pytest.approx(list(np.percentile([v for v in values if v is not None], [100 * p for p in at])), abs=1e-6)
+    assert got[None] == pytest.approx([1.0, 1.1, 1.5, 1.95, 2.0]) and got["none"] == [None] * 5
+    assert {r.g for r in evaluate.nearest_rank(rows, "v", ["g"]).collect()} == {"a", None}
+    assert evaluate.percentiles(rows.limit(0), "v", ["g"]).count() == 0
+
+
 def test_operating_point(spark):
     points = spark.createDataFrame([(0, 0.9, 50.0), (1, 0.95, 99.0), (2, 0.95, 98.0), (3, 1.0, 101.0)], "sweep_pos long, recall double, p99 double")
     assert evaluate.operating_point(points, 100).first().sweep_pos == 1
