@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkseek.functions import text as T
+from sparkseek.session import written
 
 K1, B = 1.5, 0.75
+#: Starts the term of a document's own row in :func:`search`; no token has this character.
+_OWN = "#"
 
 
 def terms(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -52,11 +55,19 @@ def top_k(scored: DataFrame, k: int, by: str = "qid", score: str = "score", id:
 def search(docs: DataFrame, questions: DataFrame, k: int, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``questions(qid, question)`` -> (qid, id, score, rank): the best ``k`` documents with a matching term.
 
-    Each distinct query term counts once (U4). Only query terms leave the scan, so the shuffles carry matches.
+    Each distinct query term counts once (U4). Texts are read and tokenised once: every document leaves one row with its
+    length, from which the statistics come, and a row for each query term in it. That table is written, then read twice.
     """
     asked = questions.select("qid", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("term"))
-    weighted = weights(postings(docs, id, text, asked.select("term").distinct()), corpus_stats(docs, id, text))
-    scored = weighted.select("id", "term", "weight").join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum("weight"), 9).alias("score"))
+    known = _small(asked.select("term").distinct().withColumn("_asked", F.lit(True)))
+    own = F.concat(F.lit(_OWN), F.pmod(F.xxhash64("id"), F.lit(1024)).cast("string"))  # many keys, should the join shuffle
+    rows = terms(docs, id, text).select("id", "len", F.explode_outer(F.array_append("toks", own)).alias("term"))
+    is_own = F.col("term").startswith(_OWN)
+    rows = rows.join(known, "term", "left").filter(F.col("_asked") | is_own)
+    counted = written(rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"), F.sum("len").alias("total")))
+    stats = counted.filter(is_own).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), F.coalesce(F.sum("total") / F.sum("tf"), F.lit(1.0)).alias("avg_len"))
+    weighted = weights(counted.filter(~is_own).drop("total"), stats)
+    scored = weighted.select("id", "term", "weight").join(_small(asked), "term").groupBy("qid", "id").agg(F.round(F.sum("weight"), 9).alias("score"))
     return top_k(scored, k)
 
 

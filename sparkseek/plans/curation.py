@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkseek.functions import text as T
 from sparkseek.operators import curate, evaluate, examples
 from sparkseek.plans import _sql as S
-from sparkseek.session import written
+from sparkseek.session import spread, written
 from sparkseek.sources import files, store
 
 WANTED = ["eng", "fra", "deu", "spa", "tel"]
@@ -22,7 +22,7 @@ LAST = 5000
 
 
 def _docs(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").withColumn("lang_code", T.normalize_lang(F.col("lang")))
+    return spread(spark.read.parquet(f"{d}/documents.parquet")).withColumn("lang_code", T.normalize_lang(F.col("lang")))
 
 
 def _clean(spark, d):

@@ -9,14 +9,14 @@ from sparkseek.functions import text as T
 from sparkseek.functions.embed import hash_embedder
 from sparkseek.operators import bm25, evaluate, hybrid, knn
 from sparkseek.plans import _sql as S
-from sparkseek.session import written
+from sparkseek.session import spread, written
 from sparkseek.sources import files, store
 
 CHUNK, OVERLAP, MIN_CHARS = 800, 120, 200
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return spread(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:

@@ -41,6 +41,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Size up to which :func:`spread` moves a table.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few files dealt over all cores; one that gives each core a task, or is over ``SPREAD_BYTES``, stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's sources to the executors once a session, so that Python workers anywhere can import it."""
     context = spark.sparkContext
