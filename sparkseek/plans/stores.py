@@ -211,7 +211,7 @@ def truth_cache(spark, d):
     def fail():
         raise AssertionError("the cache was not used")
 
-    store.cached_truth(spark, root, lambda: knn.exact_topk(vector.vectors(spark, d), vector.queries(spark, d), 10), "e", "q", 10)
+    store.cached_truth(spark, root, lambda: knn.exact_topk(vector.rows_of(spark, d), vector.queries(spark, d), 10), "e", "q", 10)
     return store.cached_truth(spark, root, fail, "e", "q", 10).select("qid", "rank", "id", F.round("score", 6).alias("score"))
 
 
@@ -296,7 +296,7 @@ def generated_rows(spark, d):
 
 def trained_recall(spark, d):
     """Whether search of a trained index, k-means cells and codebooks, finds at least 0.9 of the true neighbours."""
-    found, truth = vector.ivfpq_trained_topk(spark, d), knn.exact_topk(vector.vectors(spark, d), vector.queries(spark, d), vector.K)
+    found, truth = vector.ivfpq_trained_topk(spark, d), knn.exact_topk(vector.rows_of(spark, d), vector.queries(spark, d), vector.K)
     return evaluate.ann_recall(found, truth, vector.K).select((F.col("recall") >= 0.9).alias("enough"))
 
 

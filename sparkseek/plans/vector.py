@@ -9,7 +9,7 @@ from sparkseek.functions import config
 from sparkseek.functions import vectors as V
 from sparkseek.operators import evaluate, ivfpq, knn
 from sparkseek.plans import _sql as S
-from sparkseek.session import written
+from sparkseek.session import spread, written
 from sparkseek.sources import store
 
 K, SHARDS, EVERY, PQ_M, DIM = 10, 4, 50, 8, 64
@@ -21,6 +21,11 @@ def vectors(spark, d):
     return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
 
+def rows_of(spark, d):
+    """Vectors for a search: dealt over all cores where the table has few files."""
+    return spread(vectors(spark, d))
+
+
 def queries(spark, d):
     return vectors(spark, d).filter(F.col("id") % EVERY == 0).select(F.col("id").alias("qid"), F.col("v").alias("q"))
 
@@ -35,13 +40,13 @@ def vector_normalize(spark, d):
 
 
 def exact_knn_topk(spark, d):
-    return _hits(knn.exact_topk(vectors(spark, d), queries(spark, d), K))
+    return _hits(knn.exact_topk(rows_of(spark, d), queries(spark, d), K))
 
 
 def knn_padded(spark, d):
     """Hits from a score on only, padded to K ranks a query."""
     q = queries(spark, d)
-    near = knn.exact_topk(vectors(spark, d), q, K).filter(F.col("score") >= LEAST)
+    near = knn.exact_topk(rows_of(spark, d), q, K).filter(F.col("score") >= LEAST)
     return knn.pad(near, q, K).select("qid", "rank", "id", F.when(F.col("id") < 0, None).otherwise(F.round("score", 6)).alias("score"))
 
 
@@ -50,17 +55,17 @@ def shard_sizes(spark, d):
 
 
 def sharded_topk_merge(spark, d):
-    return _hits(knn.merge(knn.sharded_topk(vectors(spark, d), queries(spark, d), K, SHARDS), K))
+    return _hits(knn.merge(knn.sharded_topk(rows_of(spark, d), queries(spark, d), K, SHARDS), K))
 
 
 def two_node_merge(spark, d):
-    v, q = vectors(spark, d), queries(spark, d)
+    v, q = rows_of(spark, d), queries(spark, d)
     halves = [knn.merge(knn.sharded_topk(v, q, K, SHARDS, only), K) for only in ([0, 1], [2, 3])]
     return _hits(knn.merge(halves[0].unionByName(halves[1]), K))
 
 
 def gateway_degraded_merge(spark, d):
-    hits = knn.sharded_topk(vectors(spark, d), queries(spark, d), K, SHARDS).withColumnRenamed("shard_id", "node")
+    hits = knn.sharded_topk(rows_of(spark, d), queries(spark, d), K, SHARDS).withColumnRenamed("shard_id", "node")
     status = spark.range(SHARDS).select(F.col("id").alias("node"), (F.col("id") != 2).alias("ok"))
     m = knn.merge_nodes(hits, status, K)
     return m.select("qid", F.col("merged_rank").alias("rank"), "id", "score", "nodes_ok", "nodes_total", "degraded")
@@ -75,7 +80,7 @@ def _delta(spark, d):
 
 
 def delta_search(spark, d):
-    both = vectors(spark, d).select("id", "v").unionByName(_delta(spark, d))
+    both = rows_of(spark, d).select("id", "v").unionByName(_delta(spark, d))
     return _hits(knn.exact_topk(both, queries(spark, d), K))
 
 
@@ -96,20 +101,23 @@ def _centroids(spark, d):
     """One centroid a label, the mean of its unit vectors by position: deterministic, so SQL can state it."""
     parts = vectors(spark, d).select("label", F.posexplode(V.normalize(F.col("v"))).alias("p", "x")).groupBy("label", "p").agg(F.round(F.avg("x"), 9).alias("x"))
     c = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda y: y.x).alias("c"))
-    return c.select(F.col("label").cast("long").alias("cell_id"), "c")
+    return written(c.select(F.col("label").cast("long").alias("cell_id"), "c"))
 
 
 def coarse_assign(spark, d):
-    return ivfpq.assign_cells(vectors(spark, d), _centroids(spark, d)).select("id", "cell_id")
+    return ivfpq.assign_cells(rows_of(spark, d), _centroids(spark, d)).select("id", "cell_id")
 
 
-def _probed(spark, d, nprobe):
+def _cells(spark, d, nprobe):
+    """Vectors with their cell, and the cells that each query probes; both written, since counts and searches read them."""
     cells = _centroids(spark, d)
-    q = queries(spark, d)
-    probes = ivfpq.probe_cells(q, cells, nprobe, "qid", "q")
-    rows = ivfpq.assign_cells(vectors(spark, d), cells).select("id", "cell_id", V.normalize(F.col("v")).alias("v"))
-    near = rows.join(ivfpq.sized(probes.join(q.select("qid", V.normalize(F.col("q")).alias("q")), "qid"), q.count() * nprobe, 8 * DIM), "cell_id")
-    return near.select("qid", "id", "cell_rank", F.round(V.dot(F.col("q"), F.col("v")), 9).alias("score"))
+    rows = written(ivfpq.assign_cells(rows_of(spark, d), cells).select("cell_id", "id", "v"))
+    return rows, written(ivfpq.probe_cells(queries(spark, d), cells, nprobe, "qid", "q"))
+
+
+def _probed(spark, d, nprobe):
+    rows, probes = _cells(spark, d, nprobe)
+    return ivfpq.cell_search(rows, probes, queries(spark, d), K)
 
 
 def ivf_probe_topk(spark, d):
@@ -125,12 +133,12 @@ def _books(spark, d):
 
 
 def pq_encode(spark, d):
-    return ivfpq.pq_encode(vectors(spark, d), _books(spark, d), PQ_M, DIM).select("id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
+    return ivfpq.pq_encode(rows_of(spark, d), _books(spark, d), PQ_M, DIM).select("id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
 
 
 def _pq(spark, d):
     cells = _centroids(spark, d)
-    index = ivfpq.pq_encode(ivfpq.assign_cells(vectors(spark, d), cells), _books(spark, d), PQ_M, DIM)
+    index = ivfpq.pq_encode(ivfpq.assign_cells(rows_of(spark, d), cells), _books(spark, d), PQ_M, DIM)
     return index, ivfpq.probe_cells(queries(spark, d), cells, 3, "qid", "q")
 
 
@@ -146,16 +154,22 @@ def ivfpq_rerank(spark, d):
 
 
 def ann_recall_at_k(spark, d):
-    return evaluate.ann_recall(knn.merge(_probed(spark, d, 3), K), knn.exact_topk(vectors(spark, d), queries(spark, d), K), K)
+    return evaluate.ann_recall(knn.merge(_probed(spark, d, 3), K), knn.exact_topk(rows_of(spark, d), queries(spark, d), K), K)
 
 
 def nprobe_sweep(spark, d):
-    """Recall and rows scanned for each number of probed cells: one scan, a cut on the cell's rank for each."""
-    truth = written(knn.exact_topk(vectors(spark, d), queries(spark, d), K).select("qid", "id"))
-    scored = written(_probed(spark, d, 8))
+    """Recall and rows scanned for each number of probed cells: one scan, a cut on the cell's rank for each.
+
+    The scan leaves the best of each query and cell; how many rows it saw follows from the sizes of the cells.
+    """
+    truth = written(knn.exact_topk(rows_of(spark, d), queries(spark, d), K).select("qid", "id"))
+    held, probes = _cells(spark, d, 8)
+    scored = written(ivfpq.cell_search(held, probes, queries(spark, d), K))
     sweep = spark.createDataFrame([(1,), (2,), (4,), (8,)], "nprobe long")
+    sizes = held.groupBy("cell_id").agg(F.count("*").alias("n"))
+    asked = probes.groupBy("cell_id", "cell_rank").agg(F.count("*").alias("asked")).join(sizes, "cell_id")
+    cost = asked.join(F.broadcast(sweep), F.col("cell_rank") <= F.col("nprobe")).groupBy("nprobe").agg(F.sum(F.col("asked") * F.col("n")).alias("scanned"))
     rows = scored.join(F.broadcast(sweep), F.col("cell_rank") <= F.col("nprobe"))
-    cost = rows.groupBy("nprobe").agg(F.count("*").alias("scanned"))
     found = knn.top_k(rows.withColumn("qid", F.struct("nprobe", "qid")), K).select("qid.nprobe", "qid.qid", "id")
     hits = found.join(truth, ["qid", "id"]).groupBy("nprobe").agg(F.count("*").alias("hits"))
     n = truth.select("qid").distinct().agg((F.count("*") * K).alias("n"))
@@ -171,14 +185,14 @@ def operating_point(spark, d):
 
 def ivfpq_sweep(spark, d):
     cells = _centroids(spark, d)
-    index = ivfpq.pq_encode(ivfpq.assign_cells(vectors(spark, d), cells), _books(spark, d), PQ_M, DIM)
-    truth = knn.exact_topk(vectors(spark, d), queries(spark, d), K)
+    index = ivfpq.pq_encode(ivfpq.assign_cells(rows_of(spark, d), cells), _books(spark, d), PQ_M, DIM)
+    truth = knn.exact_topk(rows_of(spark, d), queries(spark, d), K)
     return ivfpq.sweep(index, cells, queries(spark, d), _books(spark, d), truth, PQ_M, DIM, K, [1, 3], [0, 4])
 
 
 def _trained(spark, d):
     """Cells and codebooks by k-means with the engine's settings, and the codes of all vectors."""
-    rows, cfg = vectors(spark, d), config.IndexConfig(dim=DIM)
+    rows, cfg = rows_of(spark, d), config.IndexConfig(dim=DIM)
     n = rows.count()
     cells = ivfpq.train_coarse(rows, V.resolve_nlist(n, min(n, 100_000), cfg.nlist))
     m = V.resolve_pq_m(cfg.dim, cfg.pq_m)
