@@ -16,7 +16,7 @@ from sparkseek.functions import vectors as V
 from sparkseek.operators import curate, evaluate, hybrid, knn
 from sparkseek.plans import _sql as S
 from sparkseek.plans import retrieval, vector
-from sparkseek.session import scratch, ship
+from sparkseek.session import scratch, ship, spread, written
 from sparkseek.sources import files, generate, store
 from sparkseek.streaming import live
 
@@ -108,7 +108,8 @@ def eval_set(spark, d):
 def chunk_store(spark, d):
     """Chunks of every document, stored twice (the second replaces the first) and read back."""
     root = scratch(spark)
-    chunks = files.number_chunks(files.chunk_documents(_table(spark, d, "documents"), retrieval.CHUNK, retrieval.OVERLAP))
+    cut = written(files.chunk_documents(spread(_table(spark, d, "documents")), retrieval.CHUNK, retrieval.OVERLAP))  # every text is cut once
+    chunks = written(files.number_chunks(cut))
     store.write_chunks(chunks.filter("position = 0"), root)
     store.write_chunks(chunks, root)
     return spark.read.parquet(f"{root}/chunks").select("chunk_id", "doc_id", F.col("position").cast("long").alias("position"), F.md5("text").alias("digest"))
