@@ -11,6 +11,8 @@ from sparkseek.session import written
 K1, B = 1.5, 0.75
 #: Starts the term of a document's own row in :func:`search`; no token has this character.
 _OWN = "#"
+#: Bytes of texts whose terms one task counts, and the most tasks. Terms whose frequencies are broadcast, at most.
+TASK_BYTES, MOST_TASKS, COMMON_TERMS = 8 << 20, 2048, 500_000
 
 
 def terms(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -34,13 +36,38 @@ def postings(docs: DataFrame, id: str, text: str, only: DataFrame | None = None)
     return rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
+def indexed(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Postings (id, term, tf, len, df) of a whole table and its statistics, texts tokenised once.
+
+    Texts move once, by id; a document's terms are then counted where it lies. The counts are written, with a row of each
+    document's own, from which the statistics come. Frequencies of terms that are common, so few, are broadcast: only
+    postings of rare terms move.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    parts = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // TASK_BYTES
+    held = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).repartition(max(cores, min(parts, MOST_TASKS)), "id")
+    rows = terms(held, "id", "text").select("id", "len", F.explode_outer(F.array_append("toks", F.lit(_OWN))).alias("term"))
+    counted = written(rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"), F.sum("len").alias("total")))
+    posted, stats = counted.filter(F.col("term") != _OWN).drop("total"), _stats(counted.filter(F.col("term") == _OWN))
+    df = written(document_frequency(posted))
+    common = F.broadcast(df.filter(F.col("df") >= posted.count() / COMMON_TERMS))  # no more terms than that have so many
+    near = posted.join(common, "term")
+    far = posted.join(common, "term", "left_anti").join(df.join(common, "term", "left_anti"), "term")
+    return near.unionByName(far), stats
+
+
+def _stats(own: DataFrame) -> DataFrame:
+    return own.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), F.coalesce(F.sum("total") / F.sum("tf"), F.lit(1.0)).alias("avg_len"))
+
+
 def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def weights(posted: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """Postings with df, idf and weight (V13). ``stats`` is one row."""
-    rows = posted.join(document_frequency(posted), "term").crossJoin(F.broadcast(stats))
+    """Postings with df, counted unless known, idf and weight (V13). ``stats`` is one row."""
+    known = posted if "df" in posted.columns else posted.join(document_frequency(posted), "term")
+    rows = known.crossJoin(F.broadcast(stats))
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("len") / F.col("avg_len")))
     return rows.withColumn("idf", idf).withColumn("weight", F.col("idf") * part)

@@ -45,8 +45,7 @@ def corpus_stats(spark, d):
 
 
 def bm25_weights(spark, d):
-    rows = docs(spark, d)
-    w = bm25.weights(bm25.postings(rows, "doc_id", "text"), bm25.corpus_stats(rows, "doc_id", "text"))
+    w = bm25.weights(*bm25.indexed(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text"))
     return w.select(F.col("id").alias("doc_id"), "term", "tf", "df", F.round("weight", 6).alias("weight"))
 
 
