@@ -9,7 +9,7 @@ from sparkseek.functions import text as T
 from sparkseek.session import written
 
 K1, B = 1.5, 0.75
-#: Starts the term of a document's own row in :func:`search`; no token has this character.
+#: Starts the term of a document's own row of :func:`_joined_search` and :func:`indexed`; no token has this character.
 _OWN = "#"
 #: Bytes of texts whose terms one task counts, and the most tasks. Terms whose frequencies are broadcast, at most.
 TASK_BYTES, MOST_TASKS, COMMON_TERMS = 8 << 20, 2048, 500_000
@@ -79,11 +79,24 @@ def top_k(scored: DataFrame, k: int, by: str = "qid", score: str = "score", id:
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 
 
-def search(docs: DataFrame, questions: DataFrame, k: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+def search(docs: DataFrame, questions: DataFrame, k: int, id: str = "doc_id", text: str = "text", found=None) -> DataFrame:
     """``questions(qid, question)`` -> (qid, id, score, rank): the best ``k`` documents with a matching term.
 
-    Each distinct query term counts once (U4). Texts are read and tokenised once: every document leaves one row with its
-    length, from which the statistics come, and a row for each query term in it. That table is written, then read twice.
+    Each distinct query term counts once (U4). Texts are read and tokenised once, or not at all with ``found``, the
+    :func:`matches.matched` of these tables; no pair of a question and a document leaves a task unless it may be among the best.
+    """
+    from sparkseek.operators import matches
+
+    if found is None and not matches.fits(docs, questions, id):
+        return _joined_search(docs, questions, k, id, text)
+    return top_k((found or matches.matched(docs, questions, id, text)).bm25(k, K1, B), k)
+
+
+def _joined_search(docs: DataFrame, questions: DataFrame, k: int, id: str, text: str) -> DataFrame:
+    """The same for ids of any type, by joins.
+
+    Every document leaves one row with its length, from which the statistics come, and a row for each query term in it. That
+    table is written, then read twice.
     """
     asked = questions.select("qid", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("term"))
     known = _small(asked.select("term").distinct().withColumn("_asked", F.lit(True)))

@@ -38,16 +38,16 @@ def candidate_cut(fused: DataFrame, final_k: int, rerank_top_n: int | None = Non
 def retrieve(
     docs: DataFrame, questions: DataFrame, final_k: int = 5, mode: str = "hybrid", candidates: int = 50,
     dense: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None,
-    rerank: Callable[[Column, Column], Column] | None = None, rerank_top_n: int = 30, id: str = "doc_id", text: str = "text",
+    rerank: Callable[[Column, Column], Column] | None = None, rerank_top_n: int = 30, id: str = "doc_id", text: str = "text", found=None,
 ) -> DataFrame:
     """Hits (qid, id, text, score, ranks, rank) of each question.
 
     ``dense`` returns (qid, id, rank) for (docs, questions, k). Texts are joined after the cut (late materialisation).
-    An unknown mode gives no hits, as does ``dense`` mode without a dense ranker (P8).
+    An unknown mode gives no hits, as does ``dense`` mode without a dense ranker (P8). ``found``: see :func:`bm25.search`.
     """
     none = questions.select("qid", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("rank")).limit(0)
     left = dense(docs, questions, candidates) if dense and mode in ("hybrid", "dense") else none
-    right = search(docs, questions, candidates, id, text) if mode in ("hybrid", "sparse") else none
+    right = search(docs, questions, candidates, id, text, found) if mode in ("hybrid", "sparse") else none
     cut = candidate_cut(fuse(left, right), final_k, rerank_top_n if rerank else None)
     # the cut's size is known from the questions: counting it would run the whole retrieval first
     few = questions.count() * max(rerank_top_n if rerank else 0, final_k) <= SMALL_ROWS

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseek.functions import text as T
 from sparkseek.functions.embed import hash_embedder
-from sparkseek.operators import bm25, evaluate, hybrid, knn
+from sparkseek.operators import bm25, evaluate, hybrid, knn, matches
 from sparkseek.plans import _sql as S
 from sparkseek.session import spread, written
 from sparkseek.sources import files, store
@@ -92,21 +94,23 @@ def chunk_lookup(spark, d):
     return store.get_many(numbered, wanted).select("chunk_id", "doc_id", long("position"), F.md5("text").alias("digest"))
 
 
-def lexical_ranker(d: DataFrame, q: DataFrame, k: int) -> DataFrame:
+def _found(rows: DataFrame, q: DataFrame) -> matches.Matches:
+    """Query terms of each document, for both rankers; texts are tokenised once."""
+    return matches.matched(rows, q, "doc_id", "text")
+
+
+def lexical_ranker(d: DataFrame, q: DataFrame, k: int, found: matches.Matches | None = None) -> DataFrame:
     """Cosine of token sets as the dense ranker of queries that SQL has to state.
 
     The overlap is counted over shared terms, so no pair of a question and a document without one is made.
     """
-    ds = d.select(F.col("doc_id").alias("id"), F.array_distinct(T.tokens(F.col("text"))).alias("s")).select("id", F.size("s").alias("m"), F.explode_outer("s").alias("term"))
-    qs = q.select("qid", F.array_distinct(T.tokens(F.col("question"))).alias("t")).select("qid", F.size("t").alias("l"), F.explode("t").alias("term"))
-    hits = ds.join(bm25._small(qs), "term").groupBy("qid", "id", "l", "m").agg(F.count("*").alias("c"))
-    score = F.round(F.col("c") / (F.sqrt(F.col("l").cast("double")) * F.sqrt(F.col("m").cast("double"))), 9)
-    return bm25.top_k(hits.select("qid", "id", score.alias("score")).filter("score > 0"), k)
+    return bm25.top_k((found or _found(d, q)).cosine(k), k)
 
 
 def _fused(spark, d):
     q, rows = questions(spark, d), docs(spark, d)
-    return hybrid.fuse(lexical_ranker(rows, q, 50), bm25.search(rows, q, 50))
+    found = _found(rows, q)
+    return hybrid.fuse(lexical_ranker(rows, q, 50, found), bm25.search(rows, q, 50, found=found))
 
 
 def rrf_fusion(spark, d):
@@ -118,7 +122,9 @@ def candidate_cut(spark, d):
 
 
 def _hits(spark, d, k=5, rerank=None):
-    return hybrid.retrieve(docs(spark, d), questions(spark, d), k, "hybrid", 50, lexical_ranker, rerank, 30)
+    rows, q = docs(spark, d), questions(spark, d)
+    found = _found(rows, q)
+    return hybrid.retrieve(rows, q, k, "hybrid", 50, partial(lexical_ranker, found=found), rerank, 30, found=found)
 
 
 def rerank_lexical(spark, d):
@@ -172,7 +178,8 @@ def retrieval_metrics(spark, d):
 
 def mode_comparison(spark, d):
     q, rows = questions(spark, d), docs(spark, d)
-    rel, sparse, dense = written(_relevant(spark, d)), written(bm25.search(rows, q, 50)), written(lexical_ranker(rows, q, 50))
+    found = _found(rows, q)
+    rel, sparse, dense = written(_relevant(spark, d)), written(bm25.search(rows, q, 50, found=found)), written(lexical_ranker(rows, q, 50, found))
     none = sparse.select("qid", "id", "rank").limit(0)
     modes = {"dense": hybrid.fuse(dense, none), "hybrid": hybrid.fuse(dense, sparse), "sparse": hybrid.fuse(none, sparse)}
     out = None
