@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseek.functions import text as T
-from sparkseek.functions.embed import hash_embedder
+from sparkseek.functions.embed import hash_embedder, hash_rows
 from sparkseek.operators import bm25, evaluate, hybrid, knn, matches
 from sparkseek.plans import _sql as S
 from sparkseek.session import spread, written
@@ -136,7 +136,7 @@ def hybrid_retrieve(spark, d):
     embed = hash_embedder(384)
 
     def dense(rows, q, k):
-        return knn.exact_topk(rows.select(F.col("doc_id").alias("id"), embed(F.col("text")).alias("v")), q.select("qid", embed(F.col("question")).alias("q")), k)
+        return knn.exact_topk(hash_rows(rows, "doc_id", "text", 384), q.select("qid", embed(F.col("question")).alias("q")), k)
 
     return hybrid.retrieve(docs(spark, d), questions(spark, d), 5, "hybrid", 50, dense).select("qid", "rank", "id", F.bround("score", 5).alias("score"), "dense_rank", "sparse_rank")
 
