@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,10 @@ import pyarrow as pa
 ROWS, QUERIES = 1024, 512
 #: Rows of one batch that leaves a task.
 OUT = 65_536
+#: Rows of a unit: of each, the best by code are scored again.
+UNIT = 2048
+#: Pairs whose vectors are gathered at a time.
+PAIRS = 65_536
 #: Key of a pair without a score, below every score; not a number stands above every score, as in SQL.
 NONE, NAN = -1024.0, np.inf
 #: Keys are compared as rounded to nine digits: a key this much lower may still be equal.
@@ -161,3 +166,116 @@ def _decode(codes: pa.Array, books: np.ndarray) -> np.ndarray:
     """The vectors that codes stand for."""
     at = codes.flatten().to_numpy(zero_copy_only=False).reshape(len(codes), -1).astype(int)
     return np.concatenate([books[s][at[:, s]] for s in range(len(books))], axis=1)
+
+
+def edges(u: np.ndarray, c: np.ndarray, nprobe: int) -> np.ndarray:
+    """For each row of ``u`` the squared distance to its ``nprobe``-th nearest row of ``c``."""
+    n, out = min(nprobe, len(c)) - 1, np.empty(len(u))
+    for lo in range(0, len(u), QUERIES):
+        out[lo : lo + QUERIES] = np.partition(_squared(u[lo : lo + QUERIES], c), n, axis=1)[:, n]
+    return out
+
+
+def _squared(u: np.ndarray, c: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore"):
+        return (u * u).sum(1)[:, None] + (c * c).sum(1) - 2 * (u @ c.T)
+
+
+def reranker(shipped, k: int, keep: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Kernel over batches (unit, cell_id, id, v, codes), rows of a unit side by side and in order of their cells: the best ``k`` of each query.
+
+    In each unit the best ``keep`` by code of the rows in probed cells are scored exactly. ``shipped.value``: query ids, their unit vectors,
+    the distance up to which each probes cells, cell ids in order, their centroids, codewords (sub, code, width).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q, edge, cells, centroids, books = shipped.value
+        best = Best(len(qids), k)
+        for part in _units(batches) if len(qids) else ():
+            with np.errstate(invalid="ignore"):
+                x = unit(dense(part.column(3))[0])
+            ids, decoded = part.column(2).to_numpy(), _decode(part.column(4), books)
+            here, first = np.unique(part.column(1).to_numpy(), return_index=True)
+            c = centroids[np.searchsorted(cells, here)]
+            for lo in range(0, len(qids), QUERIES):
+                at = slice(lo, min(lo + QUERIES, len(qids)))
+                _again(best, at, q[at], edge[at], c, [*first, len(ids)], x, decoded, ids, keep)
+        for lo in range(0, len(qids), max(1, OUT // k)):
+            at = slice(lo, lo + max(1, OUT // k))
+            full = best.key[at] > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qids[at, None], full.shape)[full]), pa.array(best.id[at][full]), _plain(best.key[at][full])], names)
+
+    return run
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one unit each; a unit of more than twice its usual rows comes in pieces."""
+    held: list[pa.RecordBatch] = []
+    for b in chain(batches, [None]):
+        if b is not None and b.num_rows:
+            held.append(b)
+        if held:
+            t = pa.Table.from_batches(held).combine_chunks()
+            unit_of = t.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(unit_of)) + 1), len(unit_of)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                while hi - lo > 2 * UNIT:
+                    yield t.slice(lo, 2 * UNIT).to_batches()[0]
+                    lo += 2 * UNIT
+                if b is None or hi < len(unit_of):
+                    yield t.slice(lo, hi - lo).to_batches()[0]
+            held = t.slice(lo).to_batches()
+
+
+def _again(best: Best, at: slice, u: np.ndarray, edge: np.ndarray, c: np.ndarray, bounds: list[int], x: np.ndarray, decoded: np.ndarray, ids: np.ndarray, keep: int) -> None:
+    """Offers what queries ``u`` find in one unit, whose cells have centroids ``c`` and begin at ``bounds``."""
+    probed = ~(_squared(u, c) > edge[:, None] + SLACK)
+    size, d = (decoded * decoded).sum(1), np.full((len(u), len(ids)), -np.inf)
+    with np.errstate(invalid="ignore"):
+        for j in range(len(c)):
+            r, rows = np.flatnonzero(probed[:, j]), slice(bounds[j], bounds[j + 1])
+            s = 2 * (u[r] @ decoded[rows].T) - size[rows]
+            d[r, rows] = np.where(np.isnan(s), NONE, s)
+        chosen = d > -np.inf
+        if len(ids) > keep:
+            chosen &= d >= np.partition(d, -keep, axis=1)[:, -keep:][:, :1]
+        r, col = np.nonzero(chosen)
+        d.fill(-np.inf)
+        for lo in range(0, len(r), PAIRS):
+            a, b = r[lo : lo + PAIRS], col[lo : lo + PAIRS]
+            y = np.einsum("ij,ij->i", u[a], x[b])
+            d[a, b] = np.where(np.isnan(y), NAN, y)
+    best.offer(at, d, ids)
+
+
+def kmeans_start(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """``k`` rows of ``x`` as first centroids."""
+    return x[np.sort(np.random.default_rng(seed).choice(len(x), k, replace=False))].copy()
+
+
+def kmeans_sums(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For centroids ``c``: number and sum of the rows nearest to each, and the farthest rows of ``x`` with their distances."""
+    n, s, near, size = np.zeros(len(c), np.int64), np.zeros(c.shape), np.zeros(len(x)), (c * c).sum(1)
+    for lo in range(0, len(x), ROWS):
+        part = x[lo : lo + ROWS]
+        d = size - 2 * (part @ c.T)
+        a = d.argmin(1)
+        near[lo : lo + ROWS] = d[np.arange(len(part)), a] + (part * part).sum(1)
+        order = np.argsort(a, kind="stable")
+        which, first, count = np.unique(a[order], return_index=True, return_counts=True)
+        n[which] += count
+        s[which] += np.add.reduceat(part[order].astype(float), first, axis=0)
+    far = np.argsort(-near, kind="stable")[: len(c)]
+    return n, s, x[far], near[far]
+
+
+def kmeans_step(c: np.ndarray, parts: list[tuple]) -> np.ndarray:
+    """The next centroids; those without rows move to the rows farthest from theirs."""
+    n, s = sum(p[0] for p in parts), sum(p[1] for p in parts)
+    out, none = c.copy(), np.flatnonzero(n == 0)
+    out[n > 0] = s[n > 0] / n[n > 0, None]
+    if len(none):
+        far, d = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+        top = np.argsort(-d, kind="stable")[: len(none)]
+        out[none[: len(top)]] = far[top]
+    return out

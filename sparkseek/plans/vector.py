@@ -192,19 +192,23 @@ def ivfpq_sweep(spark, d):
 
 def _trained(spark, d):
     """Cells and codebooks by k-means with the engine's settings, and the codes of all vectors."""
-    rows, cfg = vectors(spark, d), config.IndexConfig(dim=DIM)
+    rows, cfg = rows_of(spark, d), config.IndexConfig(dim=DIM)
     n = rows.count()
-    cells = ivfpq.train_coarse(rows, V.resolve_nlist(n, min(n, 100_000), cfg.nlist))
+    cells = written(ivfpq.train_coarse(rows, V.resolve_nlist(n, min(n, 100_000), cfg.nlist)))
     m = V.resolve_pq_m(cfg.dim, cfg.pq_m)
-    books = ivfpq.train_codebooks(rows, m, cfg.pq_bits)
-    return cells, books, ivfpq.pq_encode(ivfpq.assign_cells(rows, cells), books, m, DIM), m
+    books = written(ivfpq.train_codebooks(rows, m, cfg.pq_bits))
+    return cells, books, written(ivfpq.pq_encode(ivfpq.assign_cells(rows, cells), books, m, DIM)), m
 
 
 def ivfpq_trained_topk(spark, d, nprobe=NPROBE, rerank=RERANK):
-    """Search of the trained index; k-means has no SQL, so the tests hold it against brute force."""
+    """Search of the trained index; k-means has no SQL, so the tests hold it against brute force.
+
+    ``nprobe`` and ``rerank`` are what the search begins with: both are raised until a sample of the queries has its recall.
+    """
     cells, books, index, m = _trained(spark, d)
-    q = queries(spark, d)
-    return _hits(ivfpq.search(index, ivfpq.probe_cells(q, cells, nprobe, "qid", "q"), q, books, m, DIM, K, rerank))
+    q, units = queries(spark, d), ivfpq.in_units(index)
+    nprobe, rerank = ivfpq.tuned(units, q, cells, books, m, K, nprobe, rerank)
+    return _hits(ivfpq.unit_search(units, q, cells, books, m, K, nprobe, rerank))
 
 
 def index_stats(spark, d):
