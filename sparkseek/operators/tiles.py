@@ -69,19 +69,38 @@ class Best:
         near = s >= low
         if s.shape[1] > k and np.count_nonzero(near) > 8 * len(s) * k:
             near = s >= np.maximum(low, np.partition(s, -k, axis=1)[:, -k:][:, :1] - SLACK)
+            if np.count_nonzero(near) > 8 * len(s) * k:  # many copies
+                near = _first(s, ids, k)
         r, c = np.nonzero(near)
         x, i = np.round(s[r, c], 9), ids[c]
         ok = (x > key[r, -1]) | ((x == key[r, -1]) & (i < id[r, -1]))
         if not ok.any():
             return
         r, c, x, i = r[ok], c[ok], x[ok], i[ok]
-        y = also(r, c) if also else np.zeros(len(r))
-        rows, r = np.unique(r, return_inverse=True)
-        r = np.concatenate([np.repeat(np.arange(len(rows)), k), r])
-        x, i, y = (np.concatenate([old[rows].ravel(), new]) for old, new in ((key, x), (id, i), (more, y)))
-        order = np.lexsort((i, -x, r))
-        pick = order[np.searchsorted(r[order], np.arange(len(rows)))[:, None] + np.arange(k)]
-        key[rows], id[rows], more[rows] = x[pick], i[pick], y[pick]
+        rows, w = np.unique(r, return_inverse=True)
+        held = len(rows) * k
+        w = np.concatenate([np.repeat(np.arange(len(rows)), k), w])
+        x, i = (np.concatenate([old[rows].ravel(), new]) for old, new in ((key, x), (id, i)))
+        order = np.lexsort((i, -x, w))
+        pick = order[np.searchsorted(w[order], np.arange(len(rows)))[:, None] + np.arange(k)]
+        key[rows], id[rows] = x[pick], i[pick]
+        if also:  # of those that stay only
+            y, new = np.zeros(pick.shape), pick >= held
+            y[~new] = more[rows].ravel()[pick[~new]]
+            y[new] = also(r[pick[new] - held], c[pick[new] - held])
+            more[rows] = y
+
+
+def _first(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Where the first ``k`` of each row are: by key to nine digits, then by the smaller id; copies are not sorted."""
+    order = np.argsort(ids, kind="stable")
+    x = np.round(s[:, order], 9)
+    edge = np.partition(x, -k, axis=1)[:, -k:][:, :1]
+    above, level = x > edge, x == edge
+    level &= np.cumsum(level, axis=1) <= k - above.sum(1)[:, None]
+    out = np.empty_like(above)
+    out[:, order] = above | level
+    return out
 
 
 def _plain(key: np.ndarray) -> pa.Array:
