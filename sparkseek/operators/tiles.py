@@ -69,7 +69,7 @@ class Best:
         near = s >= low
         if s.shape[1] > k and np.count_nonzero(near) > 8 * len(s) * k:
             near = s >= np.maximum(low, np.partition(s, -k, axis=1)[:, -k:][:, :1] - SLACK)
-            if np.count_nonzero(near) > 8 * len(s) * k:  # many copies
+            if also and np.count_nonzero(near) > 8 * len(s) * k:  # many copies; without a second score sorting them is cheaper
                 near = _first(s, ids, k)
         r, c = np.nonzero(near)
         x, i = np.round(s[r, c], 9), ids[c]
